@@ -32,6 +32,20 @@ WHERE c / (na.n + nb.n - c) >= 0.7 GROUP BY doc_a, doc_b""",
     "op2_exact_dedup": """
 WITH g AS (SELECT text, min(doc_id) AS keep_id, count(DISTINCT doc_id) AS copies FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY text)
 SELECT DISTINCT d.doc_id, g.keep_id, g.copies FROM documents d JOIN g ON d.text = g.text WHERE g.copies > 1 AND d.doc_id <> g.keep_id""",
+    "op4_lm_score": f"""
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT rid, doc_id, w, k, CASE WHEN k >= 1 THEN lag(w, 1) OVER o END AS v, CASE WHEN k >= 2 THEN lag(w, 2) OVER o END AS u FROM (SELECT rid, doc_id, unnest(t) AS w, unnest(range(len(t))) AS k FROM r) WINDOW o AS (PARTITION BY rid ORDER BY k)),
+c1 AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c FROM w WHERE k >= 1 GROUP BY v, w HAVING count(*) >= 2),
+c3 AS (SELECT u, v, w, count(*) AS c FROM w WHERE k >= 2 GROUP BY u, v, w HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM w),
+x AS (SELECT a.rid, a.k, t.c AS c3, p.c AS cp, b.c AS c2, q.c AS cq, o.c AS c1 FROM w a
+  LEFT JOIN c3 t ON t.u = a.u AND t.v = a.v AND t.w = a.w LEFT JOIN c2 p ON p.v = a.u AND p.w = a.v
+  LEFT JOIN c2 b ON b.v = a.v AND b.w = a.w LEFT JOIN c1 q ON q.w = a.v JOIN c1 o ON o.w = a.w),
+s AS (SELECT rid, count(*) AS n_words, sum(CASE WHEN c3 IS NOT NULL THEN ln(c3) - ln(cp) WHEN c2 IS NOT NULL THEN ln(c2) - ln(cq) + CASE WHEN k >= 2 THEN ln(0.4) ELSE 0 END ELSE ln(c1) - ln(n.n) + least(k, 2) * ln(0.4) END) AS l,
+  count(c3) AS by_trigram, count(CASE WHEN c3 IS NULL THEN c2 END) AS by_bigram FROM x, n GROUP BY rid)
+SELECT r.doc_id, coalesce(n_words, 0) AS n_words, coalesce(round(l, 4), 0.0) AS log_score, coalesce(round(l / n_words, 4), 0.0) AS mean_log_score, coalesce(by_trigram, 0) AS by_trigram, coalesce(by_bigram, 0) AS by_bigram, coalesce(n_words - by_trigram - by_bigram, 0) AS by_unigram
+FROM r LEFT JOIN s USING (rid)""",
     "op8_decontamination": f"""
 WITH {_windows("documents", "doc_id")},{_windows("benchmark", "item_id")},
 pattern AS (SELECT DISTINCT item_id, least(n, 8) AS size, CASE least(n, 8) WHEN 5 THEN p5 WHEN 6 THEN p6 WHEN 7 THEN p7 ELSE p8 END AS p FROM benchmark_p WHERE n >= 5 AND k + least(n, 8) <= n),
