@@ -21,11 +21,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textblocks import U, mix, pack, runs, slices, unpack
+from .textblocks import U, buffers, mix, pack, runs, slices, span_hashes, unpack
 
 ROWS = "bucket int, load bigint, part int, body binary"
-#: Entries of a load, and documents, which have 16-bit numbers.
-LOAD, DOCS = 2_000_000, 60_000
+#: Bytes of text in a load, and documents, which have 16-bit numbers.
+LOAD, DOCS = 10 << 20, 60_000
+
+
+def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(name, slices) of the loads of a partition; the same rows give the same loads and names, should a task run again."""
+    parts: list[pa.RecordBatch] = []
+    marks: list[np.ndarray] = []
+    size = rows = 0
+
+    def name() -> int:
+        every = np.concatenate(marks)
+        return int(mix(every + np.arange(len(every), dtype=U)).sum(dtype=U).view(np.int64))
+
+    for b in batches:
+        for part in slices(b, "text"):
+            if parts and (size + part.nbytes > LOAD or rows + part.num_rows > DOCS):
+                yield name(), parts
+                parts, marks, size, rows = [], [], 0, 0
+            data, off = buffers(part.column("text"))
+            marks.append(mix(part.column("doc_id").to_numpy().view(U)) ^ span_hashes(data, off[:-1], off[1:]))
+            parts.append(part)
+            size += part.nbytes
+            rows += part.num_rows
+    if parts:
+        yield name(), parts
 
 
 def fingerprint_bits(total: float) -> int:
@@ -64,37 +88,17 @@ def send(docs: DataFrame, features: Callable[[pa.RecordBatch], list[np.ndarray]]
     shift = U(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        entries = documents = 0
-
-        def flush() -> pa.RecordBatch:
-            own = np.concatenate(ids)
-            size = np.array([len(h) for h in held], np.int64)
-            every = np.concatenate(held)
-            # The name of a load is a hash of what it holds: the same rows have the same name, should a task run again.
-            load = int(np.concatenate([mix(mix(own.view(U)) + np.arange(len(own), dtype=U)), every]).sum(dtype=U).view(np.int64))
-            prints = every >> shift
-            number = np.repeat(np.arange(len(held), dtype=np.uint16), size)
+        for load, parts in loads(batches):
+            held = [h for part in parts for h in features(part)]
+            own = np.concatenate([part.column("doc_id").to_numpy() for part in parts])
+            prints = np.concatenate(held) >> shift
+            number = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
             order = np.argsort(prints, kind="stable")
             prints, number = prints[order], number[order]
             at = np.concatenate([[0], np.searchsorted(prints, cut), [len(prints)]])
             rows = [(k, load, 0, join([pack(prints[at[k] : at[k + 1]]), number[at[k] : at[k + 1]].tobytes()])) for k in range(count) if at[k + 1] > at[k]]
             rows.append((int(load % count), load, 1, join([own.tobytes(), *[m.tobytes() for m in meta(held)]])))
-            return batch(rows)
-
-        for b in batches:
-            for part in slices(b, "text"):
-                got = features(part)
-                held += got
-                ids.append(part.column("doc_id").to_numpy())
-                entries += sum(map(len, got))
-                documents += len(got)
-                if entries >= LOAD or documents >= DOCS - 10_000:
-                    yield flush()
-                    held, ids, entries, documents = [], [], 0, 0
-        if documents:
-            yield flush()
+            yield batch(rows)
 
     return docs.mapInArrow(run, ROWS)
 

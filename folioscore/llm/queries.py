@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, lm_score, ngram_join, packing, secret_scan, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_score, ngram_join, packing, secret_scan, substring_dedup, toxicity
 from .common import table
 from .sql import SQL
 
@@ -32,6 +32,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op3_packing, op4_lm_score, op5_language_id, op7_secret_scan, op8_decontamination, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op3_packing, op4_lm_score, op5_language_id, op6_substring_dedup, op7_secret_scan, op8_decontamination, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
