@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, lm_score, ngram_join, packing, secret_scan, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_score, ngram_join, packing, pii, secret_scan, substring_dedup, toxicity
 from .common import table
 from .sql import SQL
 
@@ -49,7 +49,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op3_packing, op4_lm_score, op5_language_id, op6_substring_dedup, op7_secret_scan, op8_decontamination, op9_toxicity)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.identifiers(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op3_packing, op4_lm_score, op5_language_id, op6_substring_dedup, op7_secret_scan, op8_decontamination, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
