@@ -6,7 +6,7 @@ condition, else ``alpha`` * c(w) / N.  The first word of a text has no context
 and no penalty, the second has one word of it.  A document's score is the sum
 of log S over its words.
 
-Counting and scoring are one exchange.  Every load of about two million words
+Counting and scoring are one exchange.  Every load of about a million words
 sends its distinct n-grams with its own counts, each order for itself, to the
 buckets of its fingerprints; a bucket is one hash partition of the n-gram count
 table.  It adds up and answers every load with the counts of the n-grams that
@@ -35,7 +35,7 @@ from . import exchange
 from .common import buckets, materialise, plan_bytes, texts
 from .textblocks import U, buffers, lower, mix, ngrams, pack, runs, slices, span_hashes, unpack, words
 
-LOAD = 2_000_000
+LOAD = 1_000_000
 MEETING = "load bigint, part int, bucket int, doc_id bigint, body binary"
 TERMS = "doc_id bigint, n_words bigint, partial double, by_trigram bigint, by_bigram bigint, by_unigram bigint"
 
@@ -60,7 +60,7 @@ def hashed(lowered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, s, e), doc
 
 
-def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+def loads(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[tuple[int, list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """(name, slices, word hashes, documents) of each load of a partition; the same rows give the same loads and names."""
     parts: list[pa.RecordBatch] = []
     hashes: list[np.ndarray] = []
@@ -76,7 +76,7 @@ def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Reco
     for batch in batches:
         for part in slices(batch, "text"):
             h, d = hashed(lower(part, "text"))
-            parts.append(part)
+            parts.append(part if with_text else part.select(["doc_id"]))
             hashes.append(h)
             docs.append(d + rows)
             rows += part.num_rows
@@ -98,7 +98,7 @@ def scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFrame
     cut = exchange.edges(count, 64 - int(shift))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, h, d in loads(batches):
+        for name, _, h, d in loads(batches, with_text=False):
             for order in (1, 2, 3):
                 g = np.sort(grams(h, d, order, shift)[0])
                 start, length = runs(g)
@@ -131,7 +131,7 @@ def scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFrame
         return pa.Table.from_batches([exchange.batch(out)])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for load, parts, _, _ in loads(batches):
+        for load, parts, _, _ in loads(batches, with_text=True):
             for p in parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(p.num_rows, load, np.int64)), pa.array(np.zeros(p.num_rows, np.int32)), pa.array(np.arange(p.num_rows, dtype=np.int32)), p.column("doc_id"), p.column("text").cast(pa.binary())],

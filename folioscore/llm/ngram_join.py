@@ -131,8 +131,9 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) ->
     column, owner = number[column[keep]], owner[keep]
     m = len(sets)
     out = np.zeros((m, m if others is None else len(others)), np.float32)
-    width = max(256, (8 << 20) // max(1, 4 * len(both)))
-    for a in range(0, int((count > 1).sum()), width):
+    shared = int((count > 1).sum())
+    width = min(shared, max(256, (8 << 20) // max(1, 4 * len(both))))
+    for a in range(0, shared, max(width, 1)):
         now = (column >= a) & (column < a + width)
         x = np.zeros((len(both), width), np.float32)
         x[owner[now], column[now] - a] = 1

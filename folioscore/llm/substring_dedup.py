@@ -40,7 +40,7 @@ from . import exchange
 from .common import buckets, materialise, plan_bytes, texts
 from .components import components
 from .ngram_join import overlaps
-from .textblocks import U, buffers, mix, span_hashes, unpack, words
+from .textblocks import U, buffers, mix, runs, slices, span_hashes, unpack, words
 
 LEAST_WORDS, CUT, SPREAD = 4, 5, U(8)
 MEETING = "load bigint, part int, row int, doc_id bigint, body binary"
@@ -181,8 +181,6 @@ def repeated_paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _chunks(own: pa.Table) -> Iterator[pa.RecordBatch]:
-    from .textblocks import slices
-
     yield from slices(own.combine_chunks(), "body")
 
 
@@ -190,30 +188,41 @@ def similar_paragraphs(heads: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): links between the hashes of different paragraphs that share a band and are similar."""
 
     def verify(table: pa.Table) -> pa.Table:
-        exact = table.column("exact").to_pylist()
-        sets = [np.frombuffer(g, U) for g in table.column("grams").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        out: list[tuple[int, int]] = []
-        step = 1024
-        for i in range(0, len(sets), step):
-            for j in range(i, len(sets), step):
-                c = overlaps(sets[i : i + step], None if i == j else sets[j : j + step]).astype(np.int64)
-                union = size[i : i + step][:, None] + size[j : j + step][None, :] - c
-                good = c * threshold.denominator >= union * threshold.numerator
-                if i == j:
-                    np.fill_diagonal(good, False)
-                # One link from each paragraph that has a partner to each of its first partners keeps them connected.
-                for a, b in zip(*np.nonzero(good), strict=True):
-                    if exact[i + a] < exact[j + b]:
-                        out.append((exact[i + a], exact[j + b]))
-                    elif i != j:
-                        out.append((exact[j + b], exact[i + a]))
-        out = _forest(out)
-        return pa.Table.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        band = table.column("band").to_numpy()
+        exact = table.column("exact").to_numpy()
+        order = np.lexsort((exact, band))
+        grams = table.column("grams").combine_chunks()
+        start, length = runs(band[order])
+        edges: list[tuple[int, int]] = []
+        for a, n in zip(start[length > 1].tolist(), length[length > 1].tolist(), strict=True):
+            at = order[a : a + n]
+            edges += _forest(_links(exact[at].tolist(), [np.frombuffer(grams[int(k)].as_buffer(), U) for k in at], threshold))
+        edges = _forest(edges)
+        return pa.Table.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
 
     each = heads.select(F.explode("bands").alias("band"), "exact", "grams")
     crowd = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return each.join(crowd, "band").groupBy("band").applyInArrow(verify, "a bigint, b bigint").distinct()
+    # Many small groups of a band share a task's call; a band is never split over two.
+    bucket = F.pmod(F.xxhash64("band"), F.lit(buckets(heads, 1 << 20)))
+    return each.join(crowd, "band").groupBy(bucket.alias("bucket")).applyInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def _links(exact: list[int], sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
+    """The pairs of similar sets, by their hashes."""
+    if len(sets) == 2:
+        c = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(exact[0], exact[1])] if c * threshold.denominator >= (len(sets[0]) + len(sets[1]) - c) * threshold.numerator else []
+    size = np.array([len(s) for s in sets])
+    out = []
+    step = 1024
+    for i in range(0, len(sets), step):
+        for j in range(i, len(sets), step):
+            c = overlaps(sets[i : i + step], None if i == j else sets[j : j + step]).astype(np.int64)
+            good = c * threshold.denominator >= (size[i : i + step][:, None] + size[j : j + step][None, :] - c) * threshold.numerator
+            if i == j:
+                good &= np.tri(len(good), k=-1, dtype=bool).T
+            out += [(exact[i + a], exact[j + b]) for a, b in zip(*np.nonzero(good), strict=True)]
+    return out
 
 
 def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -50,7 +50,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def slices(table: pa.RecordBatch | pa.Table, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(table: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges whose texts hold about `most` bytes; a longer text comes alone."""
     for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
         if not batch.num_rows:
