@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NAME_FRAME = r".*_(\d{2,})x(\d{2,})_(\d{2,})x(\d{2,})"
 POINTS = r"^\s*-?\d+(?:\.\d+)?,-?\d+(?:\.\d+)?(?:\s+-?\d+(?:\.\d+)?,-?\d+(?:\.\d+)?)+\s*$"
@@ -84,7 +85,7 @@ def strictly_in_hull(polygon: np.ndarray, x: float, y: float) -> bool:
     return bool(np.all(d[:, 0] * (y - h[:, 1]) - d[:, 1] * (x - h[:, 0]) > 0))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def in_hull(polygon: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Whether a point lies strictly inside the convex hull of a polygon; null for an empty polygon or point."""
     return pd.Series(

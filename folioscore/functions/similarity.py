@@ -1,18 +1,58 @@
-"""Similarity of two texts, token lists or token sets as Column builders, all inside the JVM."""
+"""Similarity of two texts, token lists or token sets as Column builders; only edit distances leave the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def distance(a: Column, b: Column, bands: tuple[int, ...] = (32, 256)) -> Column:
-    """Levenshtein distance, exact. Each band is tried before the next: a banded run costs length times band, not length times length."""
-    out = F.levenshtein(a, b)
-    for band in reversed(bands):
-        near = F.levenshtein(a, b, band)
-        out = F.when(near >= 0, near).otherwise(out)
-    return F.when(a == b, 0).otherwise(out)
+from pyspark.sql import types as T
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences of hashable symbols: bit-parallel over the whole first sequence, after common ends are cut off."""
+    if a == b:
+        return 0
+    number: dict = {}
+    x, y = (np.fromiter((number.setdefault(s, len(number)) for s in seq), np.int64, len(seq)) for seq in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    start = int(differ[0]) if len(differ) else n
+    x, y = x[start:], y[start:]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    end = int(differ[0]) if len(differ) else n
+    x, y = x[: len(x) - end], y[: len(y) - end]
+    m = len(x)
+    if not m or not len(y):
+        return m + len(y)
+    where = {int(s): int.from_bytes(np.packbits(x == s, bitorder="little").tobytes(), "little") for s in np.intersect1d(x, y)}
+    full, top = (1 << m) - 1, m - 1
+    up, down, out = full, 0, m
+    for s in y.tolist():
+        here = where.get(s, 0)
+        diagonal = ((((here & up) + up) ^ up) | here | down) & full
+        more = down | (full ^ (diagonal | up))
+        less = diagonal & up
+        out += ((more >> top) & 1) - ((less >> top) & 1)
+        more = ((more << 1) | 1) & full
+        up = ((less << 1) & full) | (full ^ (diagonal | more))
+        down = more & diagonal
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two texts in characters; null if either is. The JVM's own form is quadratic in long texts even with a bound."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two texts in words between single blanks."""
+    return pd.Series([None if x is None or y is None else edit_distance(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def _ratio(d: Column, longest: Column) -> Column:
@@ -23,20 +63,9 @@ def chars(reference: Column, candidate: Column) -> Column:
     return _ratio(distance(reference, candidate), F.greatest(F.length(reference), F.length(candidate)))
 
 
-def as_symbols(vocabulary: Column, words: Column) -> Column:
-    """Words as one character each, numbered by the vocabulary; surrogates are left out."""
-    def symbol(t: Column) -> Column:
-        n = F.array_position(vocabulary, t) + 31
-        n = F.when(n >= 0xD800, n + 0x800).otherwise(n)
-        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-
-    return F.array_join(F.transform(words, symbol), "")
-
-
 def words(reference: Column, candidate: Column) -> Column:
     """Levenshtein ratio of token lists."""
-    vocabulary = F.array_distinct(F.concat(reference, candidate))
-    d = distance(as_symbols(vocabulary, reference), as_symbols(vocabulary, candidate))
+    d = word_distance(F.array_join(reference, " "), F.array_join(candidate, " "))
     return _ratio(d, F.greatest(F.size(reference), F.size(candidate)))
 
 
