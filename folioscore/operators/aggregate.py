@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,14 @@ def dimension_keys(metric: Column, dimensions: list[tuple[str, Column, bool]], h
     The hierarchical form adds the joined key of all dimensions, from the first
     element of lists, where no value is missing.
     """
+    def labelled(label: Column) -> Callable[[Column], Column]:
+        return lambda v: F.concat(metric, F.lit("@"), label, v)  # a second parameter would be the element's index
+
     flat, parts = [], []
     for name, value, many in dimensions:
         label = F.lit(f"{name}:")
         values = value if many else F.array(value)
-        flat.append(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v, label=label: F.concat(metric, F.lit("@"), label, v)))
+        flat.append(F.transform(F.filter(values, lambda v: v.isNotNull()), labelled(label)))
         first = F.when(F.size(values) > 0, F.element_at(values, 1)) if many else value
         parts.append(F.concat(label, first))
     keys = [F.coalesce(k, F.array().cast("array<string>")) for k in flat]

@@ -57,13 +57,16 @@ def score(pairs: DataFrame, keys: list[str], languages: tuple[str, ...] = DEFAUL
     for side in ("reference", "candidate"):
         if form is not None:
             pairs = pairs.withColumn(side, text.normalise(F.col(side), form))
+    # Prepared once as columns of their own: used several times, they aren't folded into the comparison.
+    kept = pairs.columns
+    pairs = pairs.select("*", *[m.prepare(F.col(side)).alias(f"__{m.label}_{side}") for m in chosen for side in ("reference", "candidate")])
     out = []
     for m in chosen:
-        r, c = m.prepare(F.col("reference")), m.prepare(F.col("candidate"))
+        r, c = F.col(f"__{m.label}_reference"), F.col(f"__{m.label}_candidate")
         there = F.col("reference").isNotNull() & F.col("candidate").isNotNull()
         ratio = F.when(there, m.compare(r, c))
         out.append(F.struct(similarity.percent(ratio).alias("value"), m.size(r).cast("bigint").alias("n_ref"), ratio.alias("ratio")).alias(m.label))
-    return pairs.select("*", *out)
+    return pairs.select(*kept, *out)
 
 
 def long_form(scored: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:

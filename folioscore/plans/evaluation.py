@@ -220,13 +220,13 @@ def _by(scores: DataFrame, keys: Column) -> DataFrame:
     return rounded(aggregate.statistics(scores.select(F.explode(keys).alias("key"), "value", "n_ref")))
 
 
-@register(lambda: f"WITH {SCORES()}, k AS (SELECT unnest([metric || '@' || lang, metric || '@' || source, metric || '@root']) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM k GROUP BY key")
+@register(lambda: f"WITH {SCORES()}, keyed AS (SELECT unnest([metric || '@' || lang, metric || '@' || source, metric || '@root']) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM keyed GROUP BY key")
 def agg_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bag_scores(spark, sf_dir)
     return _by(s, aggregate.legacy_keys(F.col("metric"), names.domains(F.col("path"), F.lit("root")), F.lit("root")))
 
 
-@register(lambda: f"WITH {SCORES()}, k AS (SELECT unnest(list_concat([metric || '@' || lang, metric || '@' || source, metric || '@root'], CASE WHEN quality IS NULL THEN [] ELSE [metric || '@root@' || {_TYPE}] END)) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM k GROUP BY key")
+@register(lambda: f"WITH {SCORES()}, keyed AS (SELECT unnest(list_concat([metric || '@' || lang, metric || '@' || source, metric || '@root'], CASE WHEN quality IS NULL THEN [] ELSE [metric || '@root@' || {_TYPE}] END)) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM keyed GROUP BY key")
 def agg_directory_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bag_scores(spark, sf_dir)
     return _by(s, aggregate.legacy_keys(F.col("metric"), names.domains(F.col("path"), F.lit("root")), F.lit("root"), _type(F.col("quality"))))
@@ -240,21 +240,21 @@ _FLAT = f"[metric || '@directory_1:' || source, metric || '@type:' || {_TYPE}, m
 _WHOLE = f"metric || '@directory_1:' || source || '/type:' || {_TYPE} || '/pattern:' || regexp_extract(path, 'page(\\d)[^/]*$', 1)"
 
 
-@register(lambda: f"WITH {SCORES()}, k AS (SELECT unnest({_FLAT}) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM k WHERE key IS NOT NULL GROUP BY key")
+@register(lambda: f"WITH {SCORES()}, keyed AS (SELECT unnest({_FLAT}) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM keyed WHERE key IS NOT NULL GROUP BY key")
 def agg_flat_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by(bag_scores(spark, sf_dir), aggregate.dimension_keys(F.col("metric"), _dimensions()))
 
 
-@register(lambda: f"WITH {SCORES()}, k AS (SELECT unnest(list_concat({_FLAT}, [{_WHOLE}])) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM k WHERE key IS NOT NULL GROUP BY key")
+@register(lambda: f"WITH {SCORES()}, keyed AS (SELECT unnest(list_concat({_FLAT}, [{_WHOLE}])) AS key, value, n_ref FROM scores) SELECT key, {STATS} FROM keyed WHERE key IS NOT NULL GROUP BY key")
 def agg_hierarchical_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by(bag_scores(spark, sf_dir), aggregate.dimension_keys(F.col("metric"), _dimensions(), hierarchical=True))
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.concat_ws("@", F.lit("Cs"), "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("key"), F.round(F.col("l_extendedprice") / 1000, 4).alias("value"), F.col("l_quantity").cast("bigint").alias("n_ref"))
+    return table(spark, sf_dir, "lineitem").select(F.concat_ws("@", F.lit("Cs"), "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("key"), (F.col("l_extendedprice") / 1000).alias("value"), F.col("l_quantity").cast("bigint").alias("n_ref"))
 
 
-_PRICES = "p AS (SELECT concat_ws('@', 'Cs', l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)) AS key, round(l_extendedprice / 1000, 4) AS value, CAST(l_quantity AS BIGINT) AS n_ref FROM lineitem)"
+_PRICES = "p AS (SELECT concat_ws('@', 'Cs', l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)) AS key, l_extendedprice / 1000 AS value, CAST(l_quantity AS BIGINT) AS n_ref FROM lineitem)"
 
 
 @register(f"WITH {_PRICES} SELECT key, {STATS} FROM p GROUP BY key")
