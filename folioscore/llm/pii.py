@@ -36,7 +36,7 @@ from .common import materialise, texts
 
 CANDIDATE = re.compile(
     r"""(?P<mail>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)
-    |(?<![\w.])(?P<grouped>\d{1,5}(?:\.\d{1,5})+|\+?(?:\(\d{1,5}\)|\d{1,5})(?:[ \-/]?\(\d{1,5}\)|[ \-/]\d{1,5})+)(?![\w(]|[.\-/]\d)
+    |(?<![\w.])(?P<grouped>\d{1,5}(?:\.\d{1,5})+|\+?(?:\(\d{1,5}\)|\d{1,8})(?:[ \-/]?\(\d{1,5}\)|[ \-/]\d{1,8})+)(?![\w(]|[.\-/]\d)
     |(?<![\w])(?P<word>(?=[\w\-./]*\d)\w{2,}(?:[\-./]\w+)*)""",
     re.VERBOSE,
 )
