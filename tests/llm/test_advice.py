@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
-
 from test_operators import docs
 
+from folioscore.llm import toxicity
+
+
 
 def prose(seed, n, size=2000):
     r = random.Random(seed)
@@ -21,3 +23,24 @@ def test_pipeline_drops_near_copies_with_scattered_edits(spark):
     rows = [(1, " ".join(base), "en", "s"), (2, " ".join(edited), "en", "s"), (3, " ".join(half), "en", "s"), (4, " ".join(prose(3, 650)), "en", "s")]
     kept = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
     assert {r["doc_id"] for r in kept.collect()} == {1, 3, 4}
+
+
+def test_long_clean_texts_are_not_toxic_by_length(spark):
+    bad = [f"vile{k}" for k in range(12)]
+    r = random.Random(5)
+    text = {}
+    for k in range(300):
+        t = prose(k, 90, 60)
+        if k % 3 == 0:
+            t += [r.choice(bad) for _ in range(12)]
+        elif k % 20 == 1:
+            t.insert(40, r.choice(bad))
+        text[k] = " ".join(t)
+    clean = " ".join(text[k] for k in range(300) if k % 3)
+    rows = [(k, t, "en", "s") for k, t in text.items()] + [(900, " ".join([clean] * 3), "en", "s"), (901, clean + " " + " ".join(text[k] for k in range(0, 60, 3)), "en", "s")]
+    df = docs(spark, rows)
+    model = toxicity.train(df, spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(200)], "doc_id bigint, quality int, toxic int"))
+    got = {x["doc_id"] for x in toxicity.toxic_documents(df, model).collect()}
+    held = set(range(201, 300, 3))
+    assert 900 not in got and 901 in got
+    assert len(got & held) >= 0.9 * len(held)
