@@ -14,6 +14,9 @@ log10 guesses of the segments plus a charge per further segment:
 
 Dynamic programming over end positions finds the minimum exactly.
 
+A value in quotes goes up to its closing quote in the same line, blanks and
+signs included; without that, up to the first blank or sign of ``"'<>,;``.
+
 Defined results: rows without doc_id or text take no part; empty texts have no
 value; a value of more than ``longest`` characters is rated on all of them in
 pieces of that length, whose costs add up; repeated rows give their values
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 #: Names of credentials, then an assignment, then the value.
-CONTEXT = r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret(?:[_\- ]?key)?|(?:auth|access|bearer|refresh|api)?[_\- ]?token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|client[_\- ]?secret|credentials?)["']?[ \t]{0,3}(?:=>|:=|==|=|:)[ \t]{0,3}["']?([^\s"'<>,;]{4,})"""
+CONTEXT = r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret(?:[_\- ]?key)?|(?:auth|access|bearer|refresh|api)?[_\- ]?token|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|client[_\- ]?secret|credentials?)["']?[ \t]*(?:=>|:=|==|=|:)[ \t]*(?:"((?:[^"\\\r\n]|\\.){4,})"|'((?:[^'\\\r\n]|\\.){4,})'|["']?([^\s"'<>,;]{4,}))"""
 PREFIXED = r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abpr]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})\b"
 _CONTEXT, _PREFIXED = re.compile(CONTEXT), re.compile(PREFIXED)
 #: Literal parts without which neither pattern matches; plain searches that spare most texts the regular expressions.
@@ -143,7 +146,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         return []
     seen: dict[tuple[int, int], str] = {}
     for m in _CONTEXT.finditer(text):
-        seen[m.span(1)] = "assigned"
+        seen[m.span(m.lastindex)] = "assigned"
     for m in _PREFIXED.finditer(text):
         seen.setdefault(m.span(1), "prefixed")
     return [(a, b, k) for (a, b), k in sorted(seen.items())]

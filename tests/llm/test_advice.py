@@ -5,8 +5,7 @@ import random
 import corpus_pipeline
 from test_operators import docs
 
-from folioscore.llm import toxicity
-
+from folioscore.llm import secret_scan, toxicity
 
 
 def prose(seed, n, size=2000):
@@ -44,3 +43,15 @@ def test_long_clean_texts_are_not_toxic_by_length(spark):
     held = set(range(201, 300, 3))
     assert 900 not in got and 901 in got
     assert len(got & held) >= 0.9 * len(held)
+
+
+def test_secret_values_go_up_to_the_closing_quote():
+    for text, want in (
+        ('password="correct horse battery staple" and', "correct horse battery staple"),
+        ("token: 'Xk9;q<W,2>z' end", "Xk9;q<W,2>z"),
+        ('"api_key"  :        "a b\\"c d"', 'a b\\"c d'),
+        ("secret          =          Zq81kd0x, next", "Zq81kd0x"),
+        ('pwd = "unclosed value', "unclosed"),
+        ("password: 'first\nsecond'", "first"),
+    ):
+        assert [text[a:b] for a, b, _ in secret_scan.find(text)] == [want]
