@@ -1,9 +1,11 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps.
 
-Each step is one aggregation over the edges; the number of steps grows with the
-logarithm of the longest path.  Every step is written to the shared folder, so
-a lost executor costs no earlier step.  Edges with a null end are ignored, as
-are loops; repeated edges count once; no edges give no components.
+Each step is an aggregation of the edges (the least neighbour of every node) and
+a join with it, so no task holds a node's neighbours; the number of steps grows
+with the logarithm of the longest path.  Every step is written to the shared
+folder, so a lost executor costs no earlier step, and the step before is then
+deleted.  Edges with a null end are ignored, as are loops; repeated edges count
+once; no edges give no components.
 """
 
 from __future__ import annotations
@@ -11,22 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Connects every node's larger (or all smaller) neighbours with the smallest of its neighbourhood."""
-    both = edges.select(F.col("u"), F.col("v"))
+    both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hub = both.groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("near")).withColumn("root", F.least("u", "least"))
+    least = both.groupBy("u").agg(F.min("v").alias("least"))
+    root = F.least("u", "least")
     if large:
-        spread = hub.select("u", "root", F.explode("near").alias("v")).where("v > u").select(F.col("v").alias("u"), F.col("root").alias("v"))
+        spread = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), root.alias("v"))
     else:
-        spread = hub.select("root", F.explode(F.concat("near", F.array("u"))).alias("v")).where("v <> root").select(F.col("v").alias("u"), F.col("root").alias("v"))
-    return spread.where("u <> v").distinct()
+        spread = both.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
+    return spread.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -34,7 +35,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     last = None
     while True:
-        now = materialise(_star(_star(now, large=True), large=False))
+        step = materialise(_star(_star(now, large=True), large=False))
+        release(now)
+        now = step
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break

@@ -16,6 +16,7 @@ matches once; other columns aren't read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,16 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, without
-from .textblocks import buffers, lower, slices, span_hashes, words
-
-MATCHES = "doc_id bigint, item_id bigint, first_word bigint, last_word bigint, start bigint, end bigint"
+from .common import keyed_texts, texts, without
+from .textblocks import buffers, folded, lower, slices, span_hashes, words
 
 
 def item_words(items: list[tuple[int, str]]) -> list[tuple[int, list[bytes]]]:
     out = []
     for item, text in items:
-        data, off = buffers(pa.array([text.lower()]))
+        data, off = buffers(folded(pa.array([text], pa.string())))
         s, e, _ = words(data, off)
         out.append((item, [data[i:j].tobytes() for i, j in zip(s, e, strict=True)]))
     return out
@@ -84,13 +83,41 @@ class Patterns:
         return sorted(out + [(i, *s) for i, s in open_.items()])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5) -> DataFrame:
-    """(doc_id, item_id, first_word, last_word, start, end): every passage of a document that covers windows of an item; end is exclusive, all counts from 0."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").distinct().orderBy("item_id", "text").collect()  # the test set, not the corpus
-    items = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+#: The automata that this worker has built, by the name of their block of items.
+_built: dict[str, Patterns] = {}
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, item_id, first_word, last_word, start, end): every passage of a document that covers windows of an item; end is exclusive, all counts from 0.
+
+    The items are sent to all tasks, at most about ``block_bytes`` at a time: a
+    larger benchmark is cut into blocks of whole items, each with an automaton
+    and a scan of its own, and nothing else changes.
+    """
+    return _matches(texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, n, least, block_bytes, []).distinct()
+
+
+def _matches(plain: DataFrame, benchmark: DataFrame, n: int, least: int, block_bytes: int, keep: list[str]) -> DataFrame:
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    blocks = max(1, -(-int(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    found = [_scan(plain, known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else known, n, least, keep) for k in range(blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _scan(plain: DataFrame, known: DataFrame, n: int, least: int, keep: list[str]) -> DataFrame:
+    """The matches of a block of items, with the columns `keep` (of integers) of the documents."""
+    items = plain.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in known.orderBy("item_id", "text").collect()])
+    name = uuid.uuid4().hex
+    columns = [*keep, "doc_id", "item_id", "first_word", "last_word", "start", "end"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Patterns(items.value, n, least)
+        if name not in _built:
+            _built.clear()
+            _built[name] = Patterns(items.value, n, least)
+        p = _built[name]
         for batch in batches if p.any else ():
             for part in slices(batch, "text"):
                 data, off = buffers(lower(part, "text"))
@@ -106,13 +133,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5) -
                         own, own_off = buffers(pa.array([raw]))
                         ws, we, _ = words(own, own_off)
                         chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-                        out += [(part.column("doc_id")[int(k)].as_py(), i, a, b, int(chars[ws[a]]), int(chars[we[b]])) for i, a, b in spans]
+                        mine = [part.column(c)[int(k)].as_py() for c in [*keep, "doc_id"]]
+                        out += [(*mine, i, a, b, int(chars[ws[a]]), int(chars[we[b]])) for i, a, b in spans]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "first_word", "last_word", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], columns)
 
-    return texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, MATCHES).distinct()
+    return plain.mapInArrow(scan, ", ".join(f"{c} bigint" for c in columns))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5) -> DataFrame:
-    """docs without the documents that hold a window of a benchmark item; rows without id or text stay."""
-    return without(docs, matches(docs, benchmark, n, least))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the documents that hold a window of a benchmark item; the decision is made for (doc_id, text), and rows without id or text stay."""
+    return without(docs, _matches(keyed_texts(docs), benchmark, n, least, block_bytes, ["text_key"]))

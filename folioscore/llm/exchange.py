@@ -3,14 +3,18 @@
 A map task gathers the distinct features of its documents into *loads* of a few
 million, sorts each load by feature and cuts it by ranges of hash values, one
 row per bucket.  Rows are packed: ascending features as byte planes of their
-differences, the documents as 16-bit numbers inside the load.  A bucket's
-reducer sees all occurrences of its features and answers every load with what
-it knows about each feature that counts, again packed; the answers of a load
-meet in one task, with the documents' own numbers and totals.
-
-So a feature costs five or six bytes each way, a frequent feature is one entry
-per document and load, nowhere a hot key, and a document's features come
-together without its text ever being moved.
+differences, the documents as 16-bit numbers inside the load, both compressed.
+A bucket's reducer sees all occurrences of its features and answers every load
+with what it knows about each feature that counts, again packed; the answers of
+a load meet in one task.
+
+Features are 64-bit hashes, whatever the size of the input.  Two given features
+collide with a probability of 2**-64, so a document's n of N features in all
+are taken for another one with a probability of at most n N 2**-64.
+
+So a feature costs seven or eight bytes, a frequent feature is one entry per
+document and load, nowhere a row of its own, and a document's features come
+together without its text.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .textblocks import U, buffers, mix, pack, runs, slices, span_hashes, unpack
@@ -52,20 +57,29 @@ def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Reco
         yield name(), parts
 
 
-def fingerprint_bits(total: float) -> int:
-    """Bits that keep chance collisions among `total` features below one in 50,000, in whole bytes."""
-    return min(64, 8 * int(np.ceil((np.log2(max(total, 1e6)) + 16) / 8)))
+def edges(count: int) -> np.ndarray:
+    """The borders of `count` even ranges of 64-bit hashes."""
+    return np.array([(k << 64) // count for k in range(1, count)], U)
 
 
-def edges(count: int, bits: int) -> np.ndarray:
-    return np.array([(k << bits) // count for k in range(1, count)], U)
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of unsigned integers, byte by byte."""
+    a = np.ascontiguousarray(a)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize)[:, :width].T).tobytes()
 
 
-def join(parts: list[bytes]) -> bytes:
-    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+def unplanes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view(U)
 
 
-def split(body: bytes) -> list[bytes]:
+def join(parts: list[bytes], level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(len(p).to_bytes(8, "little") + p for p in parts))
+
+
+def split(packed: bytes) -> list[bytes]:
+    body = zstandard.ZstdDecompressor().decompress(packed)
     out, at = [], 0
     while at < len(body):
         n = int.from_bytes(body[at : at + 8], "little")
@@ -79,72 +93,101 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(l, pa.int64()), pa.array(p, pa.int32()), pa.array(body, pa.binary())], ["bucket", "load", "part", "body"])
 
 
-def send(docs: DataFrame, features: Callable[[pa.RecordBatch], list[np.ndarray]], count: int, bits: int, meta: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
-    """Rows of ROWS: part 0 has the sorted fingerprints of a load in a bucket and their documents, part 1 the documents' ids and `meta` (arrays as long as the documents).
+def send(docs: DataFrame, features: Callable[[pa.RecordBatch], list[np.ndarray]], count: int, meta: Callable[[list[pa.RecordBatch], list[np.ndarray]], list[np.ndarray]] | None = None) -> DataFrame:
+    """Rows of ROWS: part 0 has the sorted features of a load in a bucket and their documents, part 1 (with `meta`) arrays as long as the documents.
 
-    `features` gives the distinct 64-bit features of each row of a batch of (doc_id, text).
+    `features` gives the distinct 64-bit features of each row of a batch of (doc_id, text, ...).
     """
-    cut = edges(count, bits)
-    shift = U(64 - bits)
+    cut = edges(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for load, parts in loads(batches):
             held = [h for part in parts for h in features(part)]
-            own = np.concatenate([part.column("doc_id").to_numpy() for part in parts])
-            prints = np.concatenate(held) >> shift
-            number = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
-            order = np.argsort(prints, kind="stable")
-            prints, number = prints[order], number[order]
+            prints, number = load_features(held)
             at = np.concatenate([[0], np.searchsorted(prints, cut), [len(prints)]])
-            rows = [(k, load, 0, join([pack(prints[at[k] : at[k + 1]]), number[at[k] : at[k + 1]].tobytes()])) for k in range(count) if at[k + 1] > at[k]]
-            rows.append((int(load % count), load, 1, join([own.tobytes(), *[m.tobytes() for m in meta(held)]])))
-            yield batch(rows)
+            rows = [(k, load, 0, join([pack(prints[at[k] : at[k + 1]]), planes(number[at[k] : at[k + 1]], 2)])) for k in range(count) if at[k + 1] > at[k]]
+            if meta is not None:
+                rows.append((int(load % count), load, 1, join([m.tobytes() for m in meta(parts, held)])))
+            if rows:
+                yield batch(rows)
 
     return docs.mapInArrow(run, ROWS)
 
 
+def load_features(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, documents) of a load in the order in which they are sent."""
+    prints = np.concatenate(held) if held else np.zeros(0, U)
+    number = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
+    order = np.argsort(prints, kind="stable")
+    return prints[order], number[order]
+
+
+def read(bodies: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The features and documents of rows of part 0."""
+    parts = [split(b) for b in bodies]
+    return [unpack(f) for f, _ in parts], [unplanes(d, 2).astype(np.uint16) for _, d in parts]
+
+
+def grouped(prints: list[np.ndarray], numbers: list[np.ndarray], owner: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, length, mark): the runs of equal features in `order`; a mark is a hash of (load, document)."""
+    every, number = np.concatenate(prints), np.concatenate(numbers)
+    name = np.repeat(np.array(owner, np.int64).view(U), [len(p) for p in prints])
+    order = np.argsort(every, kind="stable")
+    start, length = runs(every[order])
+    return order, start, length, mix(name + mix(number.astype(U)))
+
+
 def shared(sent: DataFrame, least: int = 2) -> DataFrame:
-    """The entries whose fingerprint at least `least` documents have: rows of ROWS per load, part 0 with fingerprints, documents, frequency classes and anchors, part 1 as sent.
+    """The entries whose feature at least `least` documents have: rows of ROWS per load, part 0 with features, documents, frequency classes and anchors, part 1 as sent.
 
-    The frequency class of a fingerprint is 8 * log2 of its documents, rounded
-    down; its anchor is the least hash of (load, document) over them, so the
-    fingerprints that the same documents share have the same anchor.
+    The frequency class of a feature is 8 * log2 of its documents, rounded
+    down; its anchor is the least hash (of 40 bits) of (load, document) over
+    them, so the features that the same documents share have the same anchor.
     """
 
     def reduce(table: pa.Table) -> pa.Table:
-        loads = table.column("load").to_pylist()
-        parts = table.column("part").to_pylist()
-        bodies = table.column("body")
-        out = []
-        prints, numbers, owner, size = [], [], [], []
-        for k in range(table.num_rows):
-            body = bodies[k].as_py()
-            if parts[k] == 1:
-                out.append((0, loads[k], 1, body))
-                continue
-            f, d = split(body)
-            prints.append(unpack(f))
-            numbers.append(np.frombuffer(d, np.uint16))
-            owner.append(loads[k])
-            size.append(len(prints[-1]))
-        if prints:
-            every, number = np.concatenate(prints), np.concatenate(numbers)
-            name = np.repeat(np.array(owner, np.int64).view(U), size)
-            order = np.argsort(every, kind="stable")
-            start, length = runs(every[order])
-            anchor = np.minimum.reduceat(mix(name + mix(number.astype(U)))[order], start) >> U(32) if len(start) else start
-            kept = np.zeros(len(every), bool)
+        loads, parts, bodies = (table.column(c).to_pylist() for c in ("load", "part", "body"))
+        out = [(0, load, 1, body) for load, part, body in zip(loads, parts, bodies, strict=True) if part == 1]
+        own = [k for k, part in enumerate(parts) if part == 0]
+        if own:
+            prints, numbers = read([bodies[k] for k in own])
+            owner = [loads[k] for k in own]
+            order, start, length, mark = grouped(prints, numbers, owner)
+            anchor = np.minimum.reduceat(mark[order], start) >> U(24)
+            kept = np.zeros(len(order), bool)
             kept[order] = np.repeat(length >= least, length)
-            klass = np.empty(len(every), np.uint8)
+            klass = np.empty(len(order), np.uint8)
             klass[order] = np.repeat(np.minimum(255, 8 * np.log2(length)).astype(np.uint8), length)
-            where = np.empty(len(every), np.uint32)
-            where[order] = np.repeat(anchor.astype(np.uint32), length)
+            where = np.empty(len(order), U)
+            where[order] = np.repeat(anchor, length)
             at = 0
-            for load, n in zip(owner, size, strict=True):
-                m = kept[at : at + n]
+            for load, f, d in zip(owner, prints, numbers, strict=True):
+                m = kept[at : at + len(f)]
                 if m.any():
-                    out.append((0, load, 0, join([pack(every[at : at + n][m]), number[at : at + n][m].tobytes(), klass[at : at + n][m].tobytes(), where[at : at + n][m].tobytes()])))
-                at += n
+                    out.append((0, load, 0, join([pack(f[m]), planes(d[m], 2), klass[at : at + len(f)][m].tobytes(), planes(where[at : at + len(f)][m], 5)])))
+                at += len(f)
         return pa.Table.from_batches([batch(out)]) if out else table.schema.empty_table()
 
     return sent.groupBy("bucket").applyInArrow(reduce, ROWS)
+
+
+def whole_loads(docs: DataFrame) -> DataFrame:
+    """Rows of ROWS, one for each load: its doc_ids, text_keys, and texts, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for load, parts in loads(batches):
+            raw = [buffers(p.column("text")) for p in parts]
+            size = np.concatenate([np.diff(off) for _, off in raw])
+            ids = np.concatenate([p.column("doc_id").to_numpy() for p in parts])
+            keys = np.concatenate([p.column("text_key").to_numpy() for p in parts])
+            yield batch([(0, load, -1, join([ids.tobytes(), keys.tobytes(), size.tobytes(), b"".join(data.tobytes() for data, _ in raw)], level=3))])
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def open_load(body: bytes) -> pa.RecordBatch:
+    """(doc_id, text_key, text) of a row of `whole_loads`."""
+    ids, keys, size, data = split(body)
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(size, np.int64))]).astype(np.int64)
+    text = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(keys, np.int64)), text], ["doc_id", "text_key", "text"])

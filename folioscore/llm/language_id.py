@@ -8,10 +8,10 @@ rate (h - f) / (1 - f), and the language with the largest corrected rate wins
 unless that rate is below ``min_rate``, which rejects the document.
 
 Training takes at most ``sample`` labelled documents per language (those whose
-hashed id is smallest, so the choice doesn't depend on the layout) and keeps
-the n-grams that at least two of them hold, at most ``grams`` per language,
-by frequency; both bounds are parameters.  Scoring covers the whole text of
-every document.
+hashed id is smallest, so the choice doesn't depend on the layout), a bound that
+is a parameter.  An n-gram belongs to a language if ``support`` of them hold it;
+all such n-grams enter the filter, whose size follows their number.  Scoring
+covers the whole text of every document.
 
 Defined results: a row without text, and one without any n-gram of letters, is
 rejected (language null, rate 0); a row without doc_id is scored like others;
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textblocks import U, buffers, lower, mix, slices
+from .textblocks import U, buffers, folded, lower, mix, slices
 
 WIDTH = 4
 SCORES = "doc_id bigint, language string, rate double, margin double, grams bigint"
@@ -66,9 +66,11 @@ def gram_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class LanguageFilter:
     """The bit-sliced filter; a few MB, whatever the corpus."""
 
-    def __init__(self, names: list[str], keys: list[np.ndarray], bits: int = 21, k: int = 3) -> None:
+    def __init__(self, names: list[str], keys: list[np.ndarray], k: int = 3) -> None:
         if len(names) > 64:
             raise ValueError("at most 64 languages")
+        # Sixteen slots and more for each n-gram of the largest language.
+        bits = max(16, int(16 * max([len(own) for own in keys], default=1)).bit_length())
         self.names, self.bits, self.k = names, bits, k
         self.kind = np.uint8 if len(names) <= 8 else np.uint16 if len(names) <= 16 else np.uint32 if len(names) <= 32 else np.uint64
         self.slots = np.zeros(1 << bits, self.kind)
@@ -81,7 +83,7 @@ class LanguageFilter:
     def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         h = mix(keys)
         for j in range(self.k):
-            yield (h >> U(21 * j)) & U((1 << self.bits) - 1) if self.bits <= 21 else mix(h + U(j)) >> U(64 - self.bits)
+            yield mix(h + U(j)) >> U(64 - self.bits)
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
         out = None
@@ -106,7 +108,7 @@ class LanguageFilter:
         return np.clip((rate - self.wrong) / (1 - self.wrong), 0, 1), n
 
 
-def train(docs: DataFrame, sample: int = 400, grams: int = 40_000, label: str = "lang") -> LanguageFilter:
+def train(docs: DataFrame, sample: int = 400, support: int = 2, label: str = "lang") -> LanguageFilter:
     """The filter of the languages in `label`; the rows that reach the driver are at most `sample` per language."""
     rows = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     order = F.xxhash64("doc_id")
@@ -116,14 +118,11 @@ def train(docs: DataFrame, sample: int = 400, grams: int = 40_000, label: str =
     names = sorted({r["l"] for r in got})
     keys = []
     for name in names:
-        texts = [r["text"].lower() for r in got if r["l"] == name]
-        k, owner = gram_keys(*buffers(pa.array(texts)))
+        texts = [r["text"] for r in got if r["l"] == name]
+        k, owner = gram_keys(*buffers(folded(pa.array(texts, pa.string()))))
         pair = np.unique(np.stack([k, owner.astype(U)]), axis=1) if len(k) else np.zeros((2, 0), U)
         uniq, held = np.unique(pair[0], return_counts=True)
-        enough = min(2, len(texts))
-        uniq, held = uniq[held >= enough], held[held >= enough]
-        best = np.lexsort((uniq, -held))[:grams]
-        keys.append(np.sort(uniq[best]))
+        keys.append(uniq[held >= min(support, len(texts))])
     return LanguageFilter(names, keys)
 
 

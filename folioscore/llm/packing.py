@@ -18,23 +18,27 @@ borders of partitions.  Both running sums go over even ranges (of hashed ids,
 then of virtual time), whose totals are added up first, so no task sees a whole
 source or the whole stream.
 
-Without targets the shares are those of the sources' tokens, and all queues run
-dry together; with targets, sources that run dry leave their share to the rest,
-in proportion.
+The shares are given (``targets``), or the sources' tokens to the power of
+``temper``: 1 is the mixture as it is, less lifts small sources and lowers
+large ones.  A source that runs dry leaves its share to the rest, in
+proportion; every token is packed, so the last windows hold what the largest
+sources have beyond their shares.
 
 Defined results: rows without doc_id or text, and texts without tokens, are not
 packed; a null source is a source of its own; sources without a target get no
 place; a repeated row is packed once; rows that share a doc_id but not the text
-are packed each; an empty table gives no window; the last window may be short.
-Other columns aren't read.
+are packed each; a document whose rows name several sources is packed once, for
+the first of them in order, a null source last; an empty table gives no window;
+the last window may be short.  Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,17 +93,38 @@ def _running(df: DataFrame, by: list[str], part: str, order: list[str], value: s
     return inner.join(before, [*by, part]).withColumn(out, F.col("__in") + F.col("__ahead")).drop("__in", "__ahead")
 
 
-def pack(docs: DataFrame, window: int = 4096, quantum: int = 128, targets: dict[str, float] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, quantum: int = 128, targets: dict[str, float] | None = None, temper: float = 1.0, tokenizer: str = TOKENIZER) -> DataFrame:
     """(window_id, slot, doc_id, source, token_start, token_end): the parts of documents in every window; slot is the part's first position in it, token_start and token_end count within the document."""
     counted = materialise(token_counts(docs, tokenizer))
-    return pack_counts(counted, buckets(docs, 64 << 20), window, quantum, targets)
+    return pack_counts(counted, buckets(docs, 64 << 20), window, quantum, targets, temper)
 
 
-def pack_counts(counted: DataFrame, ranges: int, window: int, quantum: int, targets: dict[str, float] | None = None) -> DataFrame:
+def _stretches(sources: DataFrame, ranges: int) -> Callable[[Column], Column]:
+    """The stretch, of `ranges`, that a virtual time falls in, by the tokens served up to it: all stretches hold about as many, however uneven the sources.
+
+    Tokens served up to a time t are the sum of share * min(t, end) over the
+    sources; sources with nearly the same end are taken together, which moves
+    borders of stretches but not the order of the stream.
+    """
+    near = F.floor(F.log2("finish") * 16)
+    rows = sources.groupBy(near.alias("near")).agg(F.max("finish").alias("finish"), F.sum("share").alias("share")).orderBy("near").collect()
+    at = np.array([0.0] + [r["finish"] for r in rows])
+    share = np.array([r["share"] for r in rows])
+    speed = np.cumsum(share[::-1])[::-1]
+    served = np.concatenate([[0.0], np.cumsum(np.diff(at) * speed)])
+
+    @F.pandas_udf("int")
+    def stretch(time: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(np.interp(time, at, served) / max(served[-1], 1e-300) * ranges, ranges - 1).astype(np.int32))
+
+    return stretch
+
+
+def pack_counts(counted: DataFrame, ranges: int, window: int, quantum: int, targets: dict[str, float] | None = None, temper: float = 1.0) -> DataFrame:
     spark = counted.sparkSession
     queue = counted.withColumn("source", F.coalesce("source", F.lit("\0"))).withColumn("key", F.xxhash64("doc_id", "text_key"))
     if targets is None:
-        share = queue.groupBy("source").agg(F.sum("tokens").cast("double").alias("share"))
+        share = queue.groupBy("source").agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("share"))
     else:
         share = spark.createDataFrame([(k if k is not None else "\0", float(v)) for k, v in targets.items() if v > 0], "source string, share double")
     queue = queue.withColumn("range", _range(F.col("key"), ranges))
@@ -112,8 +137,8 @@ def pack_counts(counted: DataFrame, ranges: int, window: int, quantum: int, targ
         .withColumn("size", F.least(F.lit(quantum), F.col("tokens") - F.col("from")))
         .withColumn("time", (F.col("ahead") + F.col("from") + F.col("size") / 2) / F.col("share"))
     )
-    top = placed.agg(F.max((F.col("ahead") + F.col("tokens")) / F.col("share"))).first()[0] or 1.0
-    pieces = pieces.withColumn("stretch", F.floor(F.col("time") / F.lit(top) * ranges).cast("int")).withColumn("all", F.lit(0))
+    whole = queue.groupBy("source").agg(F.sum("tokens").alias("total")).join(share, "source").withColumn("finish", F.col("total") / F.col("share"))
+    pieces = pieces.withColumn("stretch", _stretches(whole, ranges)(F.col("time"))).withColumn("all", F.lit(0))
     stream = _running(pieces, ["all"], "stretch", ["time", "source", "key", "doc_id", "text_key", "k"], "size", "at")
     window_id = F.explode(F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("size") - 1) / window)))
     parts = stream.select("*", window_id.alias("window_id"))

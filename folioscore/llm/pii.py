@@ -14,7 +14,8 @@ the score of its known values over that score plus its counter-examples plus
 ``doubt`` times its unknown values, given at least ``support`` in score; a
 value's score is 1 minus the product of (1 - confidence) over its patterns of
 at least ``trust``.  Values that reach ``accept`` are known in the next turn, so
-good patterns find unseen identifiers, and those further patterns.
+good patterns find unseen identifiers, and those further patterns, until a turn
+changes no score by a thousandth, or for ``turns`` turns.
 
 Defined results: rows without doc_id or text take no part; empty texts have no
 candidates; whole texts are searched, however long; repeated rows give their
@@ -32,14 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, release, texts
 
+#: Addresses and grouped numbers, and runs of word characters and inner signs with a digit; each starts where no earlier one could, so a search passes over every character a bounded number of times.
 CANDIDATE = re.compile(
-    r"""(?P<mail>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)
+    r"""(?P<mail>(?<![\w.+\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)
     |(?<![\w.])(?P<grouped>\d{1,5}(?:\.\d{1,5})+|\+?(?:\(\d{1,5}\)|\d{1,8})(?:[ \-/]?\(\d{1,5}\)|[ \-/]\d{1,8})+)(?![\w(]|[.\-/]\d)
-    |(?<![\w])(?P<word>(?=[\w\-./]*\d)\w{2,}(?:[\-./]\w+)*)""",
+    |(?<![\w\-./])(?P<run>[\w\-./]*\d[\w\-./]*)""",
     re.VERBOSE,
 )
+_PART = re.compile(r"\w{2,}(?:[\-./]\w+)*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"\w+")
 MENTIONS = "doc_id bigint, start bigint, end bigint, value bigint, shape string, left1 string, left2 string, right1 string, seed int"
@@ -97,17 +100,53 @@ def seed(kind: str, s: str, before: str) -> int:
     return 1 if iban(s) else 0
 
 
-def mentions_of(text: str) -> list[tuple]:
-    out = []
+def candidates(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of all tokens that may be identifiers, in order."""
     for m in CANDIDATE.finditer(text):
-        kind, (a, b) = m.lastgroup, m.span()
-        s = m[0]
-        if kind != "mail" and len(s) < 5 and not re.fullmatch(r"\d+(?:\.\d+)+", s):
+        if m.lastgroup != "run":
+            yield m.lastgroup, *m.span()
             continue
-        left = _WORDS.findall(text, max(0, a - 60), a)[-2:]
-        right = _WORDS.search(text, b, b + 60)
-        low = [w.lower() for w in left]
-        out.append((a, b, shape(s), low[-1] if low else "^", low[-2] if len(low) > 1 else "^", right[0].lower() if right else "$", seed(kind, s, text[max(0, a - 4) : a]), s))
+        for p in _PART.finditer(text, m.start(), m.end()):
+            if any(c.isdigit() for c in p[0]):
+                yield "word", *p.span()
+
+
+class _Context:
+    """The words around candidates that come in order; no part of the text is read more than twice."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at, self.left, self.right = text, 0, [], None
+
+    def before(self, a: int) -> list[str]:
+        """The last two words before a, near ones looked for first."""
+        reach = 64
+        while True:
+            low = max(self.at, a - reach)
+            while self.at < low and self.text[low - 1].isalpha() and self.text[low].isalpha():
+                low -= 1
+            found = _WORDS.findall(self.text, low, a)
+            if len(found) >= 2 or low == self.at:
+                break
+            reach *= 4
+        self.left = [*self.left, *found][-2:]
+        self.at = a
+        return self.left
+
+    def after(self, b: int) -> str | None:
+        if self.right is None or (self.right[0] is not None and self.right[0] < b):
+            m = _WORDS.search(self.text, b)
+            self.right = (m.start(), m[0]) if m else (None, None)
+        return self.right[1]
+
+
+def mentions_of(text: str) -> list[tuple]:
+    out = []
+    context = _Context(text)
+    for kind, a, b in candidates(text):
+        s = text[a:b]
+        low = [w.lower() for w in context.before(a)]
+        right = context.after(b)
+        out.append((a, b, shape(s), low[-1] if low else "^", low[-2] if len(low) > 1 else "^", right.lower() if right else "$", seed(kind, s, text[max(0, a - 4) : a]), s))
     return out
 
 
@@ -139,11 +178,12 @@ def patterns(found: DataFrame) -> DataFrame:
     return found.select("value", "seed", F.explode(each).alias("pattern")).groupBy("value", "pattern").agg(F.max("seed").alias("seed"))
 
 
-def bootstrap(found: DataFrame, turns: int = 3, trust: float = 0.7, accept: float = 0.8, doubt: float = 0.02, support: float = 3.0) -> DataFrame:
+def bootstrap(found: DataFrame, turns: int = 8, trust: float = 0.7, accept: float = 0.8, doubt: float = 0.02, support: float = 3.0) -> DataFrame:
     """(value, score, pattern): the accepted values with their best pattern; seeds score 1."""
     edges = materialise(patterns(found))
     seeds = found.groupBy("value").agg(F.max("seed").alias("seed"))
     known = seeds.where("seed = 1").select("value", F.lit(1.0).alias("score"))
+    last = None
     for _ in range(turns):
         scored = edges.join(known.select("value", "score"), "value", "left")
         right = F.sum(F.when(F.col("seed") >= 0, F.coalesce("score", F.lit(0.0))).otherwise(0.0))
@@ -155,7 +195,14 @@ def bootstrap(found: DataFrame, turns: int = 3, trust: float = 0.7, accept: floa
         votes = edges.where("seed >= 0").join(confident, "pattern").groupBy("value").agg((1 - F.exp(F.sum(weight))).alias("score"), F.max(F.struct("confidence", "pattern")).alias("best"), F.max("seed").alias("seed"))
         reached = votes.where((F.col("score") >= accept) | (F.col("seed") == 1)).select("value", F.when(F.col("seed") == 1, 1.0).otherwise(F.round("score", 6)).alias("score"), F.col("best.pattern").alias("pattern"))
         kept = reached.select("value", "score").unionByName(seeds.where("seed = 1").select("value", F.lit(1.0).alias("score"))).groupBy("value").agg(F.max("score").alias("score"))
-        known = materialise(kept.join(reached.select("value", "pattern"), "value", "left"))
+        step = materialise(kept.join(reached.select("value", "pattern"), "value", "left"))
+        if last is not None:
+            release(known)
+        known = step
+        mark = known.agg(F.count("*"), F.sum(F.xxhash64("value", F.round("score", 3)).cast("decimal(38,0)"))).first()
+        if mark == last:
+            break
+        last = mark
     return known if turns else known.withColumn("pattern", F.lit(None).cast("string"))
 
 

@@ -12,7 +12,7 @@ from .sql import SQL
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Sources by the square root of their tokens, so large ones are held back and small ones run dry."""
+    return packing.pack(table(spark, sf_dir, "documents"), temper=0.5)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,16 @@ def _windows(table: str, key: str) -> str:
 
 SQL = {
     "op1_ngram_jaccard": f"""
-WITH w AS (SELECT doc_id, text, {WORDS} AS t FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-s AS (SELECT doc_id, text, unnest(CASE WHEN len(t) >= 5 THEN list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, len(t) - 3)]) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
-n AS (SELECT doc_id, text, count(*) AS n FROM s GROUP BY doc_id, text),
-c AS (SELECT a.doc_id AS doc_a, a.text AS ta, b.doc_id AS doc_b, b.text AS tb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, max(c / (na.n + nb.n - c)) AS jaccard FROM c JOIN n na ON na.doc_id = doc_a AND na.text = ta JOIN n nb ON nb.doc_id = doc_b AND nb.text = tb
-WHERE c / (na.n + nb.n - c) >= 0.7 GROUP BY doc_a, doc_b""",
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, list_sort(CASE WHEN len(t) >= 5 THEN list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, len(t) - 3)]) ELSE [array_to_string(t, ' ')] END) AS g FROM w WHERE len(t) > 0),
+v AS (SELECT row_number() OVER (ORDER BY doc_id, g) AS v, doc_id, len(g) AS n, g FROM d),
+s AS (SELECT v, n, unnest(g) AS g FROM v),
+c AS (SELECT a.v AS a, b.v AS b, a.n + b.n AS n, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.v <> b.v GROUP BY ALL),
+e AS (SELECT a, b FROM c WHERE c / (n - c) >= 0.4),
+r(v, x) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.x),
+k AS (SELECT r.v, min(doc_id) AS class_id FROM r JOIN v ON v.v = r.x GROUP BY r.v),
+n AS (SELECT a AS v, count(*) AS links FROM e GROUP BY a)
+SELECT v.doc_id, k.class_id, n.links FROM v JOIN k USING (v) JOIN n USING (v)""",
     "op2_exact_dedup": """
 WITH g AS (SELECT text, min(doc_id) AS keep_id, count(DISTINCT doc_id) AS copies FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY text)
 SELECT DISTINCT d.doc_id, g.keep_id, g.copies FROM documents d JOIN g ON d.text = g.text WHERE g.copies > 1 AND d.doc_id <> g.keep_id""",

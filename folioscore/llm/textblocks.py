@@ -133,8 +133,13 @@ def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return mix(out[at]), at
 
 
+def folded(arr: pa.Array) -> pa.Array:
+    """Lower case, the one form that all operators compare texts in: letter by letter, so the words stay the same in number and order, and training, patterns and texts agree."""
+    return pc.utf8_lower(arr)
+
+
 def lower(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return pc.utf8_lower(batch.column(column))
+    return folded(batch.column(column))
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
