@@ -2,7 +2,7 @@
 
 Every stage but the last returns the columns of documents.  Rows without text
 are rejected by the first stage; a row without doc_id stays through the
-filters, whose decisions name documents by id, and isn't packed.
+filters, whose decisions are made for (doc_id, text), and isn't packed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscore.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
-from folioscore.llm.common import materialise, table
+from folioscore.llm.common import materialise, release, table
 
 
 #: Word 5-gram Jaccard similarity from which documents are near copies.  Of the pairs of distinct texts in sf0.1 that
@@ -42,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows of the sources' token proportions."""
-    return packing.pack(docs)
+    """Packs what is left into windows in which large sources are held back: shares go by the square root of a source's tokens."""
+    return packing.pack(docs, temper=0.5)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,8 +60,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
