@@ -247,7 +247,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, context, value) of every credential value."""
+    """(doc_id, start, end, context, value, times) of every credential value; a repeated row counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +257,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "start", "end", "context", "value"])
 
     plain = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return plain.mapInArrow(scan, "doc_id bigint, start bigint, end bigint, context string, value string").distinct()
+    return plain.mapInArrow(scan, "doc_id bigint, start bigint, end bigint, context string, value string").groupBy("doc_id", "start", "end", "context", "value").agg(F.count("*").alias("times"))
 
 
 def word_counts(docs: DataFrame, held: int = 16 << 20) -> DataFrame:
@@ -307,8 +307,11 @@ def forms(value: str) -> set[str]:
     return out
 
 
-def _ranks(values: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, words): the words of the corpus that a value's spans are, with their ranks: one more than the words that occur more often."""
+def _ranks(values: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(value, words): the words of the corpus that a value's spans are, with their ranks: one more than the words that occur more often.
+
+    What occurs in credential values themselves doesn't count, so a secret isn't a word because it is written somewhere.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,19 +319,27 @@ def _ranks(values: DataFrame, docs: DataFrame) -> DataFrame:
                 f = sorted(forms(v))
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(f), pa.string()), pa.array(f, pa.string())], ["value", "word"])
 
-    counts = materialise(word_counts(docs))
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(folded(batch.column("value")))
+            s, e, doc = words(data, off)
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.string()), batch.column("times").take(pa.array(doc))], ["word", "n"])
+
+    secret = found.select("value", "times").mapInArrow(own, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialise(word_counts(docs).join(secret, "word", "left").select("word", (F.col("count") - F.coalesce("n", F.lit(0))).alias("count")).where("count > 0"))
     # As many rows as there are different counts, which is less than the root of twice the words.
     above = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rank = counts.groupBy("count").agg(F.count("*").alias("n")).select("count", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).alias("rank"))
-    found = values.mapInArrow(split, "value string, word string").join(counts, "word").join(rank, "count")
-    return found.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+    hits = values.mapInArrow(split, "value string, word string").join(counts, "word").join(rank, "count")
+    return hits.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
 
 
 def secrets(docs: DataFrame, threshold: float = 8.0, words: list[str] | None = None) -> DataFrame:
     """(doc_id, start, end, context, log10_guesses, strong): every credential value; ``strong`` where the cost reaches the threshold, the others are placeholders and weak passwords.  `words` takes the place of the corpus' own words."""
     found = materialise(mentions(docs))
     values = found.select("value").distinct()
-    ranked = values.withColumn("words", F.lit(None).cast("array<struct<word: string, rank: bigint>>")) if words is not None else values.join(_ranks(values, docs), "value", "left")
+    ranked = values.withColumn("words", F.lit(None).cast("array<struct<word: string, rank: bigint>>")) if words is not None else values.join(_ranks(values, docs, found), "value", "left")
     base = GuessCost(words).rank
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
