@@ -44,15 +44,21 @@ def parse_points(text: Column) -> Column:
 
 
 def centroid(polygon: Column) -> Column:
-    """Area-weighted centre; the mean of the corners where there is no area."""
+    """Area-weighted centre; the mean of the corners where there is no area.  One pass over the edges."""
     n = F.size(polygon)
     turned = F.when(n > 0, F.concat(F.slice(polygon, 2, F.greatest(n - 1, F.lit(1))), F.slice(polygon, 1, 1)))
-    edges = F.zip_with(polygon, turned, lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y")))
-    total = lambda f: F.aggregate(edges, F.lit(0.0), lambda s, e: s + f(e))
-    area = total(lambda e: e["c"])
-    mean = lambda k: F.aggregate(polygon, F.lit(0.0), lambda s, p: s + p[k]) / n
-    side = lambda k: F.when(area != 0, total(lambda e: e["c"] * e[k]) / (3 * area)).otherwise(mean(k))
-    return F.when(n > 0, F.struct(side("x").alias("x"), side("y").alias("y")))
+    edges = F.zip_with(polygon, turned, lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), p["x"].alias("px"), p["y"].alias("py"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y")))
+    names = ("area", "cx", "cy", "sx", "sy", "n")
+    start = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in zip(names, (s["area"] + e["c"], s["cx"] + e["c"] * e["x"], s["cy"] + e["c"] * e["y"], s["sx"] + e["px"], s["sy"] + e["py"], s["n"] + 1.0), strict=True)])
+
+    def end(s: Column) -> Column:
+        side = lambda whole, plain: F.when(s["area"] != 0, s[whole] / (3 * s["area"])).otherwise(s[plain] / s["n"])
+        return F.struct(side("cx", "sx").alias("x"), side("cy", "sy").alias("y"))
+
+    return F.when(n > 0, F.aggregate(edges, start, step, end))
 
 
 def inside_box(point: Column, box: Column) -> Column:
@@ -78,20 +84,30 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def strictly_in_hull(polygon: np.ndarray, x: float, y: float) -> bool:
-    h = hull(polygon)
+    return bool(_strictly(hull(polygon), np.array([x]), np.array([y]))[0])
+
+
+def _strictly(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points lie strictly inside a hull."""
     if len(h) < 3:
-        return False
+        return np.zeros(len(x), bool)
     d = np.roll(h, -1, 0) - h
-    return bool(np.all(d[:, 0] * (y - h[:, 1]) - d[:, 1] * (x - h[:, 0]) > 0))
+    return np.all(d[:, 0, None] * (y - h[:, 1, None]) - d[:, 1, None] * (x - h[:, 0, None]) > 0, axis=0)
 
 
 @F.pandas_udf(T.BooleanType())
 def in_hull(polygon: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    """Whether a point lies strictly inside the convex hull of a polygon; null for an empty polygon or point."""
-    return pd.Series(
-        [None if p is None or len(p) == 0 or pd.isna(a) or pd.isna(b) else strictly_in_hull(np.array([(q["x"], q["y"]) for q in p]), a, b) for p, a, b in zip(polygon, x, y, strict=True)],
-        dtype="object",
-    )
+    """Whether a point lies strictly inside the convex hull of a polygon; null for an empty polygon or point. A hull is found once for each different polygon of a batch."""
+    keys = [None if p is None or len(p) == 0 else tuple((q["x"], q["y"]) for q in p) for p in polygon]
+    out = np.full(len(keys), None, object)
+    there = (x.notna() & y.notna()).to_numpy()
+    rows: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keys):
+        if k is not None and there[i]:
+            rows.setdefault(k, []).append(i)
+    for k, at in rows.items():
+        out[at] = _strictly(hull(np.array(k)), x.to_numpy(float)[at], y.to_numpy(float)[at])
+    return pd.Series(out, dtype="object")
 
 
 def rectangular(polygon: Column) -> Column:

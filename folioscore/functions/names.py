@@ -23,10 +23,13 @@ def stem(name: Column) -> Column:
 
 
 def groundtruth_type(name: Column) -> Column:
-    """The type between gt and xml, or before gt, in full for the known ones; null if there is none."""
-    after, before = F.regexp_extract(name, r"gt\.(\w{3,})\.xml$", 1), F.regexp_extract(name, r"\.(\w{3,})\.gt\.xml$", 1)
+    """The type between gt and xml, or before gt, that a groundtruth's name tells: article, announcement, or "n.a." for any other or none.
+
+    As ever, the signs before gt and xml may be any.
+    """
+    after, before = F.regexp_extract(name, r"^.*gt.(\w{3,}).xml$", 1), F.regexp_extract(name, r"^.*\.(\w{3,})\.gt\.xml$", 1)
     raw = F.when(after != "", after).when(before != "", before)
-    return F.when(raw.startswith("art"), "article").when(raw.startswith("ann"), "announcement").otherwise(raw)
+    return F.when(raw.startswith("art"), "article").when(raw.startswith("ann"), "announcement").otherwise(UNSET)
 
 
 def domains(path: Column, root: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,8 +12,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def banded(where: dict[int, int], m: int, y: list[int], most: int) -> int:
+    """The Levenshtein distance of a sequence of m symbols, at the bits of `where`, to y, or more than `most` if it is.
+
+    Bit-parallel over the diagonals at most `most` away from the main one: the
+    band moves down with every symbol of y, so a step costs a few operations on
+    integers of 2 * most bits, however long the sequences are.
+    """
+    width = 2 * most + 2
+    full, top = (1 << width) - 1, width - 1
+    up, down, out = full ^ ((1 << (width - most - 1)) - 1), 0, most
+    diagonal, start = 1 << top, most + 1 - width
+    turn = m - most
+    for j, s in enumerate(y):
+        bits = where.get(s, 0)
+        here = (bits >> start if start >= 0 else bits << -start) & full
+        zero = ((((here & up) + up) ^ up) | here | down) & full
+        more = down | (full ^ (zero | up))
+        less = zero & up
+        if j < turn:
+            out += not zero & diagonal
+        else:
+            edge = top - 1 - (j - turn)
+            if edge < 0:
+                break
+            out += (more >> edge & 1) - (less >> edge & 1)
+        shifted = zero >> 1
+        up = less | (full ^ (shifted | more))
+        down = shifted & more
+        start += 1
+    return out
+
+
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance of two sequences of hashable symbols: bit-parallel over the whole first sequence, after common ends are cut off."""
+    """Levenshtein distance of two sequences of hashable symbols, common ends cut off: a band around the diagonal that is widened until the distance fits."""
     if a == b:
         return 0
     number: dict = {}
@@ -25,22 +58,30 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
     end = int(differ[0]) if len(differ) else n
     x, y = x[: len(x) - end], y[: len(y) - end]
-    m = len(x)
-    if not m or not len(y):
-        return m + len(y)
-    where = {int(s): int.from_bytes(np.packbits(x == s, bitorder="little").tobytes(), "little") for s in np.intersect1d(x, y)}
-    full, top = (1 << m) - 1, m - 1
-    up, down, out = full, 0, m
-    for s in y.tolist():
-        here = where.get(s, 0)
-        diagonal = ((((here & up) + up) ^ up) | here | down) & full
-        more = down | (full ^ (diagonal | up))
-        less = diagonal & up
-        out += ((more >> top) & 1) - ((less >> top) & 1)
-        more = ((more << 1) | 1) & full
-        up = ((less << 1) & full) | (full ^ (diagonal | more))
-        down = more & diagonal
-    return out
+    if len(x) < len(y):
+        x, y = y, x
+    m, n = len(x), len(y)
+    if not n:
+        return m
+    size = len(number)
+    gap = np.bincount(x, minlength=size) - np.bincount(y, minlength=size)
+    # Symbols that one side has more of cost at least one step each.
+    least = int(max(gap[gap > 0].sum(), -gap[gap < 0].sum()))
+    both = np.flatnonzero((np.bincount(x, minlength=size) > 0) & (np.bincount(y, minlength=size) > 0))
+    order = np.argsort(x, kind="stable")
+    edge = np.searchsorted(x[order], np.arange(size + 1))
+    where = {}
+    for s in both.tolist():
+        at = np.zeros(m, bool)
+        at[order[edge[s] : edge[s + 1]]] = True
+        where[s] = int.from_bytes(np.packbits(at, bitorder="little").tobytes(), "little")
+    symbols = y.tolist()
+    most = min(m, max(8, m - n, least + least // 8 + 2))
+    while True:
+        found = banded(where, m, symbols, most)
+        if found <= most or most >= m:
+            return found
+        most = min(m, 2 * most)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -69,20 +110,19 @@ def words(reference: Column, candidate: Column) -> Column:
     return _ratio(d, F.greatest(F.size(reference), F.size(candidate)))
 
 
-def bag_difference(reference: Column, candidate: Column) -> Column:
-    """Size of the difference of two multisets of tokens: one fold over their sorted union, a run of equal tokens at a time."""
-    tagged = F.array_sort(F.concat(F.transform(reference, lambda t: F.struct(t.alias("t"), F.lit(1).alias("s"))), F.transform(candidate, lambda t: F.struct(t.alias("t"), F.lit(-1).alias("s")))))
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+@F.pandas_udf(T.IntegerType())
+def _bags(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x: str, y: str) -> int:
+        p, q = Counter(x.split(" ") if x else ()), Counter(y.split(" ") if y else ())
+        p.subtract(q)
+        return sum(map(abs, p.values()))
 
-    def step(state: Column, x: Column) -> Column:
-        same = state["t"] == x["t"]
-        return F.struct(
-            x["t"].alias("t"),
-            F.when(same, state["run"] + x["s"]).otherwise(x["s"]).alias("run"),
-            F.when(same, state["total"]).otherwise(state["total"] + F.abs(state["run"])).alias("total"),
-        )
+    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    return F.aggregate(tagged, start, step, lambda s: s["total"] + F.abs(s["run"]))
+
+def bag_difference(reference: Column, candidate: Column) -> Column:
+    """Size of the difference of two multisets of tokens."""
+    return _bags(F.array_join(reference, " "), F.array_join(candidate, " "))
 
 
 def bag(reference: Column, candidate: Column) -> Column:
@@ -101,8 +141,9 @@ def recall(reference: Column, candidate: Column) -> Column:
 
 
 def fmeasure(reference: Column, candidate: Column) -> Column:
-    p, r = precision(reference, candidate), recall(reference, candidate)
-    return F.coalesce(F.when(p + r > 0, 2 * p * r / (p + r)), F.lit(0.0))
+    """The harmonic mean of precision and recall, 2 |R & C| / (|R| + |C|); 0 where there is nothing in common."""
+    both = F.size(F.array_intersect(reference, candidate))
+    return F.coalesce(2 * both / F.nullif(F.size(reference) + F.size(candidate), F.lit(0)), F.lit(0.0))
 
 
 def percent(ratio: Column, places: int = 2) -> Column:

@@ -23,13 +23,13 @@ HYPHENS = ("⸗", "-", "—")
 
 
 def normalise(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; plain ASCII never leaves the JVM's fast path of the comparison, null stays null."""
+    """Unicode normal form; null stays null."""
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown normal form {form}")
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
 
     return run(text)
 
@@ -96,4 +96,5 @@ def line_text(words: Column, reorder: bool = False) -> Column:
 
 
 def strip_marks(word: Column) -> Column:
+    """A word without the five directional marks; all of them, where the surveyed tool leaves all but the last kind in by an oversight."""
     return F.translate(F.trim(word), DIRECTION_MARKS, "")

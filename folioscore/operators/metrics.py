@@ -75,6 +75,16 @@ def long_form(scored: DataFrame, labels: list[str], keep: list[str]) -> DataFram
     return scored.select(*keep, rows.alias("s")).select(*keep, "s.metric", "s.value", "s.n_ref").where("value is not null")
 
 
+def score_dictionary(pairs: DataFrame, dictionary: DataFrame, form: str | None = "NFC") -> DataFrame:
+    """pairs (doc_id, candidate) with DictLT, the share of words that a dictionary (word) has, as `score` gives it: the metric of the key DictLT or DictionaryLangTool, whose dictionary is a table."""
+    prepared = text.ligatures(text.normalise(F.col("candidate"), form) if form else F.col("candidate"))
+    words = pairs.select("doc_id", F.explode(text.tokens(prepared)).alias("word"))
+    found = unknown_words(words, dictionary)
+    n, errors = F.coalesce("n_words", F.lit(0)), F.coalesce("errors", F.lit(0))
+    ratio = F.when(n == 0, 1.0).otherwise(1 - errors / n)
+    return pairs.join(found, "doc_id", "left").withColumn("DictLT", F.struct(similarity.percent(ratio).alias("value"), n.alias("n_ref"), ratio.alias("ratio"))).drop("n_words", "errors")
+
+
 def unknown_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, n_words, errors) from (doc_id, word) and (word): words that the dictionary lacks, at most as many as there are."""
     missing = words.join(dictionary.select("word").distinct().withColumn("known", F.lit(1)), "word", "left")

@@ -44,10 +44,10 @@ def dmd_values(files: DataFrame, dmd: DataFrame) -> DataFrame:
 def entry_hrefs(entries: DataFrame, hrefs: DataFrame) -> DataFrame:
     """entries (path, name) with the first href, by order (href, ord), that contains the name or that the path contains.
 
-    Both sides are reduced to the part after the last slash, which either
-    containment implies for names that are whole file names; so it is one
-    equi-join. Hrefs that contain a name inside a longer file name are found by
-    that name's parts, as images are.
+    A name inside an href is found by the parts of the href's file name that are
+    as long as some name, an href inside a path by the part of both after the
+    last slash, which containment implies for paths to files; so both are
+    equi-joins.
     """
     last = F.element_at(F.split("href", "/"), -1)
     lengths = entries.select(F.length("name").alias("n")).distinct()
@@ -74,10 +74,3 @@ def nearest_ancestor_dmd(divs: DataFrame, kinds: tuple[str, ...] = ("monograph",
     """(div_id, dmd_id) from divs with ancestors (array of id, type, dmd_id; nearest first): of the nearest of the kinds that has one."""
     fit = F.filter("ancestors", lambda a: a["type"].isin(*kinds) & a["dmd_id"].isNotNull())
     return divs.select("div_id", F.when(F.size(fit) > 0, F.element_at(fit, 1)["dmd_id"]).alias("dmd_id"))
-
-
-def corpus_extract(resources: DataFrame, phys: DataFrame, group: str = "OCR-D-GT-FULLTEXT") -> DataFrame:
-    """Rows of the merged manifest: resources (identifier, relative_path, file_base_name) matched with pages (content_id, div_id, doc_ord) by their URN, with new ids and order; labels and children of the pages are not carried over."""
-    joined = resources.join(phys, resources["identifier"] == phys["content_id"])
-    w = Window.orderBy("file_base_name", "identifier")
-    return joined.withColumn("order", F.row_number().over(w).cast("bigint")).select("identifier", "div_id", "order", F.concat_ws("-", F.lit(group), F.col("order").cast("string")).alias("file_id"), F.col("relative_path").alias("href"))

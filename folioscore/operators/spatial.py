@@ -13,8 +13,9 @@ def words_with_place(words: DataFrame, frames: DataFrame) -> DataFrame:
 
     Pages without a frame keep all their words; a word without a polygon is an error of the page, `inside` null.
     """
-    joined = words.join(frames.select("page_id", "frame"), "page_id", "left")
-    return joined.withColumn("inside", F.when(F.col("frame").isNull(), True).otherwise(geometry.inside_box(geometry.centroid(F.col("polygon")), F.col("frame"))))
+    # The centre as a column of its own, before the join: found once, and the polygon needn't be moved for it.
+    joined = words.withColumn("__centre", geometry.centroid(F.col("polygon"))).join(frames.select("page_id", "frame"), "page_id", "left")
+    return joined.withColumn("inside", F.when(F.col("frame").isNull(), True).otherwise(geometry.inside_box(F.col("__centre"), F.col("frame")))).drop("__centre")
 
 
 def filter_words(words: DataFrame, frames: DataFrame) -> DataFrame:

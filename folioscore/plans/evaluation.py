@@ -111,7 +111,7 @@ def sanitize_dict_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     label = metrics.registry()[key].label
-    scored = metrics.score(pairs(spark, sf_dir), [key], form=None)
+    scored = metrics.score(pairs(spark, sf_dir), [key])
     return scored.select("doc_id", F.col(label)["value"].alias("value"), F.col(label)["n_ref"].alias("n_ref"))
 
 
@@ -180,7 +180,7 @@ def dict_unknown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, metric, value, n_ref, source, lang, path, quality): the scores that the key queries group."""
-    scored = metrics.score(pairs(spark, sf_dir), ["BoWs", "Pre"], form=None)
+    scored = metrics.score(pairs(spark, sf_dir), ["BoWs", "Pre"])
     flat = metrics.long_form(scored, ["BoWs", "Pre"], ["doc_id", "source", "lang", "path"])
     kind = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return flat.join(kind, "doc_id", "left")
@@ -282,7 +282,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(lambda: f"WITH {PAIRS.replace('reference', 'reference')}, p AS (SELECT lang, reference AS r, candidate AS c FROM pairs), s AS (SELECT 'Cs@lang:' || lang AS key, CASE WHEN greatest(length(r), length(c)) = 0 THEN 1.0 ELSE 1 - levenshtein({_ONE_BYTE('r')}, {_ONE_BYTE('c')}) / greatest(length(r), length(c)) END AS ratio, length(r) AS n_ref FROM p), v AS (SELECT key, round_even(100 * ratio, 2) AS value, n_ref FROM s) SELECT key, {STATS} FROM v GROUP BY key")
 def char_similarity_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: character similarity of all pairs by language."""
-    scored = metrics.score(pairs(spark, sf_dir), ["Cs"], form=None)
+    scored = metrics.score(pairs(spark, sf_dir), ["Cs"])
     flat = metrics.long_form(scored, ["Cs"], ["lang"])
     return _by(flat, aggregate.dimension_keys(F.col("metric"), [("lang", F.col("lang"), False)]))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, structure
+from . import documents, evaluation, structure
 from .tables import FOUND, Query
 
 QUERIES: dict[str, Query] = {k: f for k, (f, _) in FOUND.items()}
@@ -18,4 +18,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.char_similarity_by_language(spark, sf_dir)
 
 
-__all__ = ["QUERIES", "flagship", "oracle_sql", "structure"]
+__all__ = ["QUERIES", "documents", "flagship", "oracle_sql", "structure"]

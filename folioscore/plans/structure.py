@@ -40,7 +40,7 @@ def candidates_without_groundtruth(spark: SparkSession, sf_dir: str) -> DataFram
     return matching.without_groundtruth(_stems(spark, sf_dir), _groundtruth(spark, sf_dir)).select("stem")
 
 
-@register(f"WITH {_GT} SELECT doc_id, CASE WHEN regexp_extract(gt_name, '\\.(\\w{{3,}})\\.gt\\.xml$', 1) LIKE 'art%' THEN 'article' ELSE 'announcement' END AS type FROM g")
+@register(f"WITH {_GT} SELECT doc_id, CASE WHEN gt_name LIKE '%.art.gt.xml' THEN 'article' WHEN gt_name LIKE '%.ann.gt.xml' THEN 'announcement' ELSE 'n.a.' END AS type FROM g")
 def gt_type_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groundtruth(spark, sf_dir).select("doc_id", names.groundtruth_type(F.col("gt_name")).alias("type"))
 
