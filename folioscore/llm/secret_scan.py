@@ -327,11 +327,12 @@ def _ranks(values: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.string()), batch.column("times").take(pa.array(doc))], ["word", "n"])
 
     secret = found.select("value", "times").mapInArrow(own, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialise(word_counts(docs).join(secret, "word", "left").select("word", (F.col("count") - F.coalesce("n", F.lit(0))).alias("count")).where("count > 0"))
+    counts = materialise(word_counts(docs).join(secret.hint("merge"), "word", "left").select("word", (F.col("count") - F.coalesce("n", F.lit(0))).alias("count")).where("count > 0"))
     # As many rows as there are different counts, which is less than the root of twice the words.
     above = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rank = counts.groupBy("count").agg(F.count("*").alias("n")).select("count", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).alias("rank"))
-    hits = values.mapInArrow(split, "value string, word string").join(counts, "word").join(rank, "count")
+    # The optimizer takes the spans for as small as the values are; both sides grow with the input and are shuffled.
+    hits = values.mapInArrow(split, "value string, word string").hint("merge").join(counts, "word").join(rank, "count")
     return hits.groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
 
 
@@ -351,4 +352,4 @@ def secrets(docs: DataFrame, threshold: float = 8.0, words: list[str] | None = N
             yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(out, pa.float64())], ["value", "log10_guesses"])
 
     rated = ranked.mapInArrow(rate, "value string, log10_guesses double")
-    return found.join(rated, "value").select("doc_id", "start", "end", "context", "log10_guesses", (F.col("log10_guesses") >= threshold).alias("strong"))
+    return found.join(rated.hint("merge"), "value").select("doc_id", "start", "end", "context", "log10_guesses", (F.col("log10_guesses") >= threshold).alias("strong"))
