@@ -45,6 +45,31 @@ def test_long_clean_texts_are_not_toxic_by_length(spark):
     assert len(got & held) >= 0.9 * len(held)
 
 
+def test_short_and_inflected_toxic_words_are_told_from_ordinary_text(spark):
+    r = random.Random(7)
+    parts = [a + b for a in "bdghlmnrstw" for b in ("a", "en", "ou", "ing", "ra", "sh")]
+
+    def word():
+        return "".join(r.choice(parts) for _ in range(r.randrange(1, 5)))
+
+    def foreign():
+        return "".join(r.choice("vkzxqjfpcy") + r.choice("aeiou") for _ in range(2)) + r.choice("tlmpk")
+
+    short, stems = [foreign() for _ in range(10)], [foreign() for _ in range(4)]
+    text = {}
+    for k in range(900):
+        t = [word() for _ in range(r.randrange(100, 300))]
+        if k % 3 == 0:
+            for _ in range(3):
+                t[r.randrange(len(t))] = r.choice(short) if k % 2 else r.choice(stems) + word()
+        text[k] = " ".join(t)
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(600)], "doc_id bigint, quality int, toxic int")
+    df = docs(spark, [(k, t, "en", "s") for k, t in text.items()])
+    got = {x["doc_id"] for x in toxicity.toxic_documents(df, toxicity.train(df, labels)).collect()}
+    held, clean = set(range(600, 900, 3)), {k for k in range(600, 900) if k % 3}
+    assert len(got & held) >= 0.9 * len(held) and len(got & clean) <= 0.1 * len(clean)
+
+
 def test_secret_values_go_up_to_the_closing_quote():
     for text, want in (
         ('password="correct horse battery staple" and', "correct horse battery staple"),
