@@ -231,10 +231,11 @@ def string_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_filtered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page documents cut at x = 200, written and parsed again; boxes follow from the words, so lines lie in their regions now."""
     cut = nodes.filter_documents(page_documents(spark, sf_dir), "-1,-1 200,900000")
-    left = nodes.nodes(cut).where("error is null")
-    words = left.groupBy("path").agg(F.count_if(F.col("level") == nodes.WORD).alias("words"), F.max(F.when(F.col("level") == nodes.LINE, F.array_max(F.transform("polygon", lambda p: p["x"])))).alias("right_end"))
     count = lambda m, *tags: sum((F.coalesce(F.try_element_at(m, _s(t)), F.lit(0)) for t in tags), F.lit(0)).cast("bigint")
-    return cut.select("path", count("removed", "Word").alias("removed"), count("resized", "TextLine", "TextRegion").alias("resized")).join(words, "path")
+    counted = cut.select("path", "content", count("removed", "Word").alias("removed"), count("resized", "TextLine", "TextRegion").alias("resized"))
+    left = nodes.nodes(counted, "removed", "resized").where("error is null")
+    right = F.when(F.col("level") == nodes.LINE, F.array_max(F.transform("polygon", lambda p: p["x"])))
+    return left.groupBy("path").agg(F.max("removed").alias("removed"), F.max("resized").alias("resized"), F.count_if(F.col("level") == nodes.WORD).alias("words"), F.max(right).alias("right_end"))
 
 
 @register(f"""WITH {_TURNS}, c AS (SELECT conv_id, unnest(t) AS w, 1 AS a, 0 AS b FROM g WHERE conv_id % 7 <> 0 UNION ALL SELECT conv_id, unnest(d), 0, 1 FROM g WHERE conv_id % 7 <> 0),

@@ -133,3 +133,40 @@ def test_positions_are_counted_over_ranges(spark):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(100000)).alias("a"), "id")
     rows = manifests.numbered(df, ["a", "id"], "n", ranges=7).collect()
     assert [r["n"] for r in sorted(rows, key=lambda r: (r["a"], r["id"]))] == list(range(1, 1001))
+
+
+def test_cropping_finds_one_hull_for_all_words_and_removes_each_word_once(monkeypatch):
+    from folioscore.functions import geometry
+
+    calls = []
+    real = geometry.hull
+    for module in (geometry, nodes):
+        monkeypatch.setattr(module, "hull", lambda p: calls.append(1) or real(p))
+    strings = "".join(f'<String ID="s{k}" CONTENT="w" HPOS="{k * 10}" VPOS="1" WIDTH="9" HEIGHT="5"/><SP/><SP ID="t{k}"/>' for k in range(500))
+    doc = ALTO.format("x", "y").split("<String")[0] + strings + "</TextLine></TextBlock></PrintSpace></Page></Layout></alto>"
+    got = nodes.cropped("a", doc, [(0, 0), (100, 0), (100, 20), (0, 20)])
+    assert len(calls) == 1 and dict(got["removed"]) == {"String": 490}
+    assert got["content"].count("SP ") == 510  # of the two spaces behind a word that goes, one stays
+
+
+def test_middle_and_hull_are_as_numpy_and_the_other_form_have_them():
+    from folioscore.functions import geometry
+
+    rng = np.random.default_rng(1)
+    for n in range(3, 12):
+        for _ in range(30):
+            p = rng.integers(0, 50, (n, 2)).astype(float)
+            x, y = p.T
+            u, v = np.roll(x, -1), np.roll(y, -1)
+            cross = x * v - u * y
+            want = (((x + u) * cross).sum() / (3 * cross.sum()), ((y + v) * cross).sum() / (3 * cross.sum())) if cross.sum() else (x.mean(), y.mean())
+            assert nodes.middle([{"x": a, "y": b} for a, b in p.tolist()]) == want
+            within = nodes.strictly(geometry.hull(p))
+            for a, b in rng.integers(0, 50, (20, 2)).tolist():
+                assert within(a, b) == geometry.strictly_in_hull(p, a, b)
+
+
+def test_nodes_keep_numbers_of_their_documents(spark):
+    df = spark.createDataFrame([("p", page(LINE.format("l", "1,1 9,1 9,9", "", "x")), 7), ("bad", "<", 5)], "path string, content string, removed int")
+    got = nodes.nodes(df, "removed").groupBy("path").agg(F.max("removed").alias("removed"), F.count("removed").alias("n")).collect()
+    assert {tuple(r) for r in got} == {("p", 7, 1), ("bad", 5, 1)}
