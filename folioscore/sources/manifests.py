@@ -181,12 +181,19 @@ def corpus_pages(resources: DataFrame, rows: DataFrame, kinds: tuple[str, ...] =
 
 
 def numbered(df: DataFrame, order: list[str], name: str, ranges: int = 64) -> DataFrame:
-    """df with a position 1..n in the order of columns: a range partitioning, the ranges' sizes, and a count inside each."""
+    """df with a position 1..n in the order of columns: ranges, their sizes, and a count inside each.
+
+    The ranges' bounds are keys of the rows with the least hashes, so that however often and wherever the plan is run again, a row
+    falls into the same range; Spark's own range partitioning draws anew for the sizes and for the rows, and the two disagree.
+    """
     from pyspark.sql.window import Window
 
-    cut = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    key = F.struct(*order)
+    drawn = df.select(key.alias("k"), F.xxhash64(*order).alias("h")).orderBy("h").limit(20 * ranges).agg(F.array_sort(F.collect_list("k")).alias("all"))
+    bounds = drawn.select(F.filter("all", lambda _, i: i % 20 == 19).alias("__bounds"))
+    cut = df.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
     inside = cut.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    sizes = inside.groupBy("__range").agg(F.count("*").alias("__size"))
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("__size"))
     before = sizes.select("__range", (F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).alias("__before"))
     return inside.join(F.broadcast(before), "__range").withColumn(name, (F.col("__in") + F.col("__before")).cast("bigint")).drop("__range", "__in", "__before")
 

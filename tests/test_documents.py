@@ -170,3 +170,18 @@ def test_nodes_keep_numbers_of_their_documents(spark):
     df = spark.createDataFrame([("p", page(LINE.format("l", "1,1 9,1 9,9", "", "x")), 7), ("bad", "<", 5)], "path string, content string, removed int")
     got = nodes.nodes(df, "removed").groupBy("path").agg(F.max("removed").alias("removed"), F.count("removed").alias("n")).collect()
     assert {tuple(r) for r in got} == {("p", 7, 1), ("bad", 5, 1)}
+
+
+def test_positions_agree_when_the_plan_for_the_sizes_reads_other_partitions(spark):
+    given = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        df = spark.range(60000, numPartitions=7).select(F.concat(F.lit("n"), F.pmod(F.xxhash64("id"), F.lit(30000)).cast("string")).alias("a"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("w"))
+        joined = df.join(spark.range(60000, numPartitions=3).withColumnRenamed("id", "other"), F.col("id") == F.col("other"))
+        rows = manifests.numbered(joined, ["a", "id"], "n").select("a", "id", "n", "w").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r["n"] for r in sorted(rows, key=lambda r: (r["a"], r["id"]))] == list(range(1, 60001))
