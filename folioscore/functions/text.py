@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import string
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,22 +14,27 @@ _DIGITS = string.digits + "".join(map(chr, [*range(0x660, 0x66A), *range(0x6F0,
 NON_LETTERS = "".join(dict.fromkeys(string.whitespace + string.punctuation + _DASHES_QUOTES + _SPACES + _DIGITS))
 #: What dictionary texts leave out.
 DICTIONARY_NOISE = string.digits + "“„\"'?!*.;:-=[]()|"
-#: White space as Python's split sees it.
-SPACE = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+#: White space as Python's split sees it, but for the blank.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 DIRECTION_MARKS = "‎‏‪‫‬"
 HYPHENS = ("⸗", "-", "—")
 
 
-def normalise(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; null stays null."""
-    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
-        raise ValueError(f"unknown normal form {form}")
+#: Methods of ICU, which Spark brings, for the normal forms.
+_FORMS = {"NFC": ("compose", False), "NFKC": ("compose", True), "NFD": ("decompose", False), "NFKD": ("decompose", True)}
+
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+def normalise(text: Column, form: str = "NFC") -> Column:
+    """Unicode normal form; null stays null.
 
-    return run(text)
+    It runs in the JVM, so no text goes to Python for it.  Spark takes the call
+    for one that isn't deterministic: it has to be a column of its own before it
+    is aggregated.
+    """
+    if form not in _FORMS:
+        raise ValueError(f"unknown normal form {form}")
+    method, compatible = _FORMS[form]
+    return F.when(text.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(compatible)))
 
 
 def letters(text: Column) -> Column:
@@ -40,7 +43,7 @@ def letters(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space, in order."""
-    return F.filter(F.split(text, SPACE), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
 
 
 def token_set(text: Column, stop_words: list[str]) -> Column:

@@ -74,3 +74,26 @@ def test_strings_without_space_between_are_one_word(spark):
     rows = [("l", 0, False, "a", "(Sand"), ("l", 1, True, None, ""), ("l", 2, False, "b", "Gate"), ("l", 3, False, "c", "),"), ("m", 0, False, "d", "x"), ("m", 1, False, "e", "y"), ("m", 2, False, "f", " ")]
     got = lines.merge_strings(spark.createDataFrame(rows, "line_id string, pos int, is_space boolean, id string, text string")).collect()
     assert sorted((r["line_id"], r["id"], r["text"]) for r in got) == [("l", "a", "(Sand"), ("l", "b", "Gate),"), ("m", "d", "x"), ("m", "e", "y")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normal_forms_are_as_python_has_them_and_stay_in_the_jvm(spark):
+    import unicodedata
+
+    texts = ["e\u0301 \u00e9 \ufb01 \u212b q\u0323\u0307 \u1100\u1161\u11a8 \uac01 \u0344 \U0001d15e \u2126", "", "plain", None, "".join(map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x11000)]))]
+    # characters that Python's tables don't have yet are left out
+    texts[-1] = "".join(c for c in texts[-1] if unicodedata.category(c) != "Cn")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        out = df.select("k", text.normalise(F.col("t"), form).alias("t"))
+        assert {r["k"]: r["t"] for r in out.collect()} == {k: None if t is None else unicodedata.normalize(form, t) for k, t in enumerate(texts)}
+        assert "Python" not in _plan(out)
+
+
+def test_words_are_as_python_splits_them(spark):
+    t = "".join(f"a{chr(c)}" for c in range(1, 0x3100) if chr(c).isspace() or c in (0x200B, 0x180E, 0xFEFF)) + "  b "
+    got = spark.createDataFrame([(t,), ("",), (" \n",)], "t string").select(text.tokens(F.col("t"))).collect()
+    assert [r[0] for r in got] == [t.split(), [], []]
