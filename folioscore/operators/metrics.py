@@ -29,20 +29,20 @@ class Metric:
     label: str
     prepare: Callable[[Column], Column]
     compare: Callable[[Column, Column], Column]
-    size: Callable[[Column], Column]
+    size: Callable[[Column, Column], Column]
 
 
 def registry(languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> dict[str, Metric]:
     words = stop_words(languages)
     chosen = lambda c: text.token_set(c, words)
     metrics = {
-        ("Cs", "Characters"): Metric("Cs", lambda c: c, similarity.chars, F.length),
-        ("Ls", "Letters"): Metric("Ls", text.letters, similarity.chars, F.length),
-        ("Ws", "Words"): Metric("Ws", text.tokens, similarity.words, F.size),
-        ("BoWs", "BagOfWords"): Metric("BoWs", text.tokens, similarity.bag, F.size),
-        ("IRPre", "Pre", "Precision"): Metric("Pre", chosen, similarity.precision, F.size),
-        ("IRRec", "Rec"): Metric("Rec", chosen, similarity.recall, F.size),
-        ("IRF", "FMeasure"): Metric("FM", chosen, similarity.fmeasure, F.size),
+        ("Cs", "Characters"): Metric("Cs", lambda c: c, similarity.chars, lambda r, c: F.length(r)),
+        ("Ls", "Letters"): Metric("Ls", text.letters, similarity.chars, lambda r, c: F.length(r)),
+        ("Ws", "Words"): Metric("Ws", lambda c: c, similarity.words, lambda r, c: similarity.word_distance(r, c)["reference"]),
+        ("BoWs", "BagOfWords"): Metric("BoWs", lambda c: c, similarity.bag, lambda r, c: similarity.bag_difference(r, c)["reference"]),
+        ("IRPre", "Pre", "Precision"): Metric("Pre", chosen, similarity.precision, lambda r, c: F.size(r)),
+        ("IRRec", "Rec"): Metric("Rec", chosen, similarity.recall, lambda r, c: F.size(r)),
+        ("IRF", "FMeasure"): Metric("FM", chosen, similarity.fmeasure, lambda r, c: F.size(r)),
     }
     return {k: m for keys, m in metrics.items() for k in keys}
 
@@ -60,12 +60,16 @@ def score(pairs: DataFrame, keys: list[str], languages: tuple[str, ...] = DEFAUL
     # Prepared once as columns of their own: used several times, they aren't folded into the comparison.
     kept = pairs.columns
     pairs = pairs.select("*", *[m.prepare(F.col(side)).alias(f"__{m.label}_{side}") for m in chosen for side in ("reference", "candidate")])
-    out = []
+    ratios = []
     for m in chosen:
         r, c = F.col(f"__{m.label}_reference"), F.col(f"__{m.label}_candidate")
         there = F.col("reference").isNotNull() & F.col("candidate").isNotNull()
-        ratio = F.when(there, m.compare(r, c))
-        out.append(F.struct(similarity.percent(ratio).alias("value"), m.size(r).cast("bigint").alias("n_ref"), ratio.alias("ratio")).alias(m.label))
+        ratios += [F.when(there, m.compare(r, c)).alias(f"__{m.label}_ratio"), m.size(r, c).cast("bigint").alias(f"__{m.label}_size")]
+    pairs = pairs.select(*kept, *ratios)
+    out = []
+    for m in chosen:
+        ratio = F.col(f"__{m.label}_ratio")
+        out.append(F.struct(similarity.percent(ratio).alias("value"), F.col(f"__{m.label}_size").alias("n_ref"), ratio.alias("ratio")).alias(m.label))
     return pairs.select(*kept, *out)
 
 

@@ -76,6 +76,26 @@ def test_strings_without_space_between_are_one_word(spark):
     assert sorted((r["line_id"], r["id"], r["text"]) for r in got) == [("l", "a", "(Sand"), ("l", "b", "Gate),"), ("m", "d", "x"), ("m", "e", "y")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "rn", "tion ", "q", "long word ", "x" * 20]), max_size=14), st.data())
+def test_edit_distance_of_damaged_texts_and_words_matches_dynamic_programming(parts, data):
+    other = [p if data.draw(st.integers(0, 3)) else data.draw(st.sampled_from(["", "m", "tiou ", "g", "yy"])) for p in parts]
+    a, b = "".join(parts), "".join(other)
+    assert similarity.edit_distance(a, b) == brute(a, b)
+    assert similarity.edit_distance(a.split(), b.split()) == brute(a.split(), b.split())
+
+
+def test_long_texts_with_few_errors_need_no_band(monkeypatch):
+    def never(*_):
+        raise AssertionError("banded")
+
+    monkeypatch.setattr(similarity, "banded", never)
+    reference = "".join(f"the question of return number {k} in the nation of turnips, \u0142\U0001f600 " for k in range(2000))
+    candidate = reference.replace("tion", "tiou").replace("rn", "m").replace("qu", "gu")
+    assert similarity.edit_distance(reference, candidate) == reference.count("tion") + 2 * reference.count("rn") + reference.count("qu")
+    assert similarity.edit_distance(reference.split(), candidate.split()) == sum(x != y for x, y in zip(reference.split(), candidate.split(), strict=True))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -97,3 +117,16 @@ def test_words_are_as_python_splits_them(spark):
     t = "".join(f"a{chr(c)}" for c in range(1, 0x3100) if chr(c).isspace() or c in (0x200B, 0x180E, 0xFEFF)) + "  b "
     got = spark.createDataFrame([(t,), ("",), (" \n",)], "t string").select(text.tokens(F.col("t"))).collect()
     assert [r[0] for r in got] == [t.split(), [], []]
+
+
+def test_scores_send_texts_to_python_once_and_split_them_only_there(spark):
+    pairs = spark.createDataFrame([(1, "a b", "a c")], "doc_id int, reference string, candidate string")
+    for key in ("Cs", "Ls", "Ws", "BoWs"):
+        plan = _plan(metrics.score(pairs, [key]).select("doc_id", f"{similarity_label(key)}.value", f"{similarity_label(key)}.n_ref"))
+        assert plan.count("ArrowEvalPython") == 1 and "split(" not in plan
+    for key in ("Pre", "Rec", "FMeasure"):
+        assert "Python" not in _plan(metrics.score(pairs, [key]))
+
+
+def similarity_label(key):
+    return metrics.registry()[key].label
