@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACES = "    　" + "".join(map(chr, range(0x2000, 0x200B)))
 _DASHES_QUOTES = "".join(map(chr, range(0x2012, 0x2020))) + "⸗"
@@ -68,29 +70,39 @@ def dictionary_line(text: Column) -> Column:
     return F.array_join(F.filter(tokens(F.translate(text, DICTIONARY_NOISE, "")), lambda t: F.length(t) > 1), " ")
 
 
-def join_hyphenated(lines: Column) -> Column:
+def _joined(lines: list[str | None] | None) -> list[str] | None:
+    if lines is None:
+        return None
+    out: list[str] = []
+    held = None
+    for line in lines:
+        if held is not None:
+            words = line.split() if line is not None else []
+            if words and held.endswith(HYPHENS):
+                out.append(held[:-1] + words[0])
+                held = " ".join(words[1:])
+                continue
+            out.append(held)
+        held = line
+    return out if held is None else [*out, held]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def join_hyphenated(lines: pa.Array) -> pa.Array:
     """Lines where a word cut by a hyphen at the end took its rest from the next line's first word.
 
-    The next line loses that word before it is looked at itself, so the fold
-    carries the changed line along; an empty next line leaves the hyphen.
+    The next line loses that word before it is looked at itself; an empty next
+    line leaves the hyphen.  In Python, as it takes one pass over the lines,
+    where a fold in the JVM copies all lines so far for each one.
     """
-    rest = lambda line: F.array_join(F.slice(tokens(line), 2, F.greatest(F.size(tokens(line)), F.lit(1))), " ")
-    ends = lambda line: F.substring(line, -1, 1).isin(*HYPHENS)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(state: Column, line: Column) -> Column:
-        held = state["held"]
-        joins = held.isNotNull() & ends(held) & (F.size(tokens(line)) > 0)
-        closed = F.when(joins, F.concat(held.substr(F.lit(1), F.length(held) - 1), tokens(line)[0])).otherwise(held)
-        out = F.when(held.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(closed)))
-        return F.struct(out.alias("out"), F.when(joins, rest(line)).otherwise(line).alias("held"))
-
-    return F.aggregate(lines, start, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+    kind = pa.list_(pa.string())
+    parts = [pa.array([_joined(lines[k].as_py()) for k in range(at, min(at + 256, len(lines)))], kind) for at in range(0, len(lines), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def dictionary_text(lines: Column) -> Column:
-    """Lines joined over hyphens, cleaned, without empty ones, as one text."""
-    return F.array_join(F.filter(F.transform(join_hyphenated(lines), dictionary_line), lambda t: t != ""), " ")
+    """Lines joined over hyphens, cleaned, without empty ones, as one text: lines end at white space, so all are cleaned as one."""
+    return dictionary_line(F.array_join(join_hyphenated(lines), "\n"))
 
 
 def line_text(words: Column, reorder: bool = False) -> Column:

@@ -130,3 +130,29 @@ def test_scores_send_texts_to_python_once_and_split_them_only_there(spark):
 
 def similarity_label(key):
     return metrics.registry()[key].label
+
+
+def folded(lines):
+    """What joining over hyphens means, a line at a time."""
+    out, held = [], None
+    for line in lines:
+        if held is None:
+            held = line
+        elif held[-1:] in text.HYPHENS and line.split():
+            out, held = [*out, held[:-1] + line.split()[0]], " ".join(line.split()[1:])
+        else:
+            out, held = [*out, held], line
+    return out if held is None else [*out, held]
+
+
+def test_hyphens_join_over_many_lines_in_one_pass(spark):
+    cases = [["a-", "b-", "c"], ["a-", "", "b"], ["a-", "b c-", " d e "], ["a- ", "b"], ["x⸗", "\u00a0y", "z—", "w"], [], ["-", "-", "-"], None, [f"word{k} cut-" for k in range(20000)]]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, l array<string>")
+    out = df.select("k", text.join_hyphenated(F.col("l")).alias("j"), text.dictionary_text(F.col("l")).alias("d"))
+    plan = _plan(out)
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("join_hyphenated(") == 1 and "aggregate(" not in plan
+    got = {r["k"]: r for r in out.collect()}
+    for k, c in enumerate(cases):
+        assert got[k]["j"] == (None if c is None else folded(c))
+    assert got[0]["j"] == ["ab-", "", "c"] and got[0]["d"] == "ab"
+    assert got[2]["d"] == "ab cd" and got[7]["d"] is None and got[5]["d"] == ""
