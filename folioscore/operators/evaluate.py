@@ -65,16 +65,23 @@ def page_texts(nodes_: DataFrame, frames: DataFrame | None = None) -> DataFrame:
 
 
 def scores(matched: DataFrame, candidates: DataFrame, groundtruth: DataFrame, keys: list[str], ignore_geometry: bool = False, form: str = "NFC") -> DataFrame:
-    """matched with reference, candidate and a column for every metric; the frame comes from the groundtruth, pages with an error drop out."""
-    trees = tree.nodes(groundtruth)
-    reference = page_texts(trees).select(F.col("path").alias("gt_path"), F.col("text").alias("reference"))
-    boxes = None
+    """matched with reference, candidate and a column for every metric; the frame comes from the groundtruth, pages with an error drop out.
+
+    Every document is parsed once, and nothing but its text and frame leaves the parser.
+    """
+    # Not to be asked twice, once for the filter and once for the value.
+    truth, own = (f.asNondeterministic() for f in (tree.read_groundtruth, tree.read_candidate))
+    read = groundtruth.select(F.col("path").alias("gt_path"), truth(F.col("path"), F.col("content")).alias("read")).where("read.text is not null")
+    frame = F.lit(None).cast("struct<x0: int, y0: int, x1: int, y1: int>")
     if not ignore_geometry:
-        found = tree.frames(groundtruth).where("error is null").select(F.col("path").alias("gt_path"), "frame")
-        boxes = matched.join(found, "gt_path").select("path", "frame")
-        matched = matched.join(boxes.select("path"), "path", "left_semi")
-    candidate = page_texts(tree.nodes(candidates.join(matched.select("path"), "path", "left_semi")), boxes).select("path", F.col("text").alias("candidate"), "removed")
-    pairs = matched.join(candidate, "path").join(reference, "gt_path")
+        named = geometry.frame_from_name(names.base_name(F.col("gt_path")))
+        read = read.where(named.isNotNull() | F.col("read.error").isNull())
+        frame = F.coalesce(named, "read.frame")
+    known = read.select("gt_path", F.col("read.text").alias("reference"), frame.alias("__frame"))
+    # The contents' bytes size the partitions only if they are shuffled; next to a broadcast table, few tasks would parse them all.
+    both = matched.join(known, "gt_path").join(candidates.select("path", F.col("content").alias("__content")).hint("merge"), "path")
+    found = both.withColumn("__read", own(F.col("path"), F.col("__content"), F.col("__frame"))).where("__read.text is not null")
+    pairs = found.select("gt_path", "path", *[c for c in matched.columns if c not in ("gt_path", "path")], F.col("__read.text").alias("candidate"), F.col("__read.removed").alias("removed"), "reference")
     return metrics.score(pairs, keys, form=form)
 
 

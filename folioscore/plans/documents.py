@@ -172,11 +172,16 @@ def page_documents(spark: SparkSession, sf_dir: str, candidate: bool = False) ->
     """
     c = F.col
     t = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", text.tokens(damaged(c("text")) if candidate else c("text")).alias("t")).where(F.size("t") > 0)
-    points = lambda x0, y0, x1, y1: F.format_string('<Coords points="%d,%d %d,%d %d,%d %d,%d"/>', x0, y0, x1, y0, x1, y1, x0, y1)
+    n = lambda x: F.coalesce(x.cast("string"), _s("null"))
+
+    def points(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        a, b, c, d = n(x0), n(y0), n(x1), n(y1)
+        return _C(_s('<Coords points="'), a, _s(","), b, _s(" "), c, _s(","), b, _s(" "), c, _s(","), d, _s(" "), a, _s(","), d, _s('"/>'))
+
     y = c("turn") * 100
     wide = F.size("t") * 10 + 10
     equiv = lambda s: _C(_s("<TextEquiv><Unicode>"), _escaped(s), _s("</Unicode></TextEquiv>"))
-    word = lambda s, k: _C(F.format_string('<Word id="w%d_%d">', c("turn"), k), points(k * 10 + 1, y + 5, k * 10 + 9, y + 45), equiv(s), _s("</Word>"))
+    word = lambda s, k: _C(_s('<Word id="w'), n(c("turn")), _s("_"), n(k), _s('">'), points(k * 10 + 1, y + 5, k * 10 + 9, y + 45), equiv(s), _s("</Word>"))
     words = F.array_join(F.transform("t", word), "")
     if candidate:
         words = _C(words, F.format_string('<Word id="x%d">', c("turn")), points(F.lit(900_000), y + 5, F.lit(900_008), y + 45), equiv(_s("outside")), _s("</Word>"))

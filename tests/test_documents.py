@@ -185,3 +185,30 @@ def test_positions_agree_when_the_plan_for_the_sizes_reads_other_partitions(spar
         for k, v in old.items():
             spark.conf.set(k, v)
     assert [r["n"] for r in sorted(rows, key=lambda r: (r["a"], r["id"]))] == list(range(1, 60001))
+
+
+def test_texts_read_in_one_parse_are_those_of_the_nodes(spark, monkeypatch):
+    word = '<Word id="w{0}"><Coords points="{1},1 {2},1 {2},3 {1},3"/><TextEquiv><Unicode>t{0}</Unicode></TextEquiv></Word>'
+    odd = '<Word id="v"><Coords points="1,1 9,1 9,3 8,3 7,4 6,3 5,4 4,3 3,4"/><TextEquiv><Unicode>odd</Unicode></TextEquiv></Word>'
+    doc = page(LINE.format("a", "1,1 9,1 9,9", word.format(1, 1, 3) + word.format(2, 14, 16) + odd, ""), LINE.format("b", "1,1 9,1 9,9", "", ""), LINE.format("c", "1,1 9,1 9,9", word.format(3, 14, 16), ""), LINE.format("d", "1,1 9,1 9,9", "", "own"), "<TextEquiv><Unicode>region</Unicode></TextEquiv>")
+    docs = {"p": doc, "bad": "<", "none": None, "alto": ALTO.format("x", "y"), "plain": "text", "empty": page()}
+    df = spark.createDataFrame(list(docs.items()), "path string, content string")
+    frame = {"x0": 0.0, "y0": 0.0, "x1": 10.0, "y1": 10.0}
+    frames = spark.createDataFrame([(p, tuple(frame.values())) for p in docs], "path string, frame struct<x0: double, y0: double, x1: double, y1: double>")
+    for given, box in ((None, None), (frames, frame)):
+        want = {r["path"]: (r["text"], r["removed"]) for r in evaluate.page_texts(nodes.nodes(df), given).collect()}
+        assert {p: t for p, c in docs.items() if (t := nodes.page_text(p, c, box)) is not None} == want and len(want) == 3
+
+
+def test_scores_parse_every_document_once(spark):
+    line = LINE.format("l", "1,1 9,1 9,9", '<Word id="w"><Coords points="1,2 3,2 3,4"/><TextEquiv><Unicode>word</Unicode></TextEquiv></Word><Word id="x"><Coords points="90,2 93,2 93,4"/><TextEquiv><Unicode>outside</Unicode></TextEquiv></Word>', "")
+    candidates = spark.createDataFrame([("in/a.xml", page(line)), ("in/b.xml", page(line)), ("in/c.xml", "<")], "path string, content string")
+    truth = spark.createDataFrame([("gt/a.art.gt.xml", page(LINE.format("l", "1,1 9,1 9,9", "", "word"))), ("gt/b.gt.xml", "<"), ("gt/c.gt.xml", page(LINE.format("l", "1,1 9,1 9,9", "", "word")))], "path string, content string")
+    matched, _ = evaluate.entries(candidates, truth, F.lit("in"))
+    assert matched.count() == 3
+    scored = evaluate.scores(matched, candidates, truth, ["BoWs"])
+    assert [(r["path"], r["reference"], r["candidate"], r["removed"], r["BoWs"]["value"]) for r in scored.collect()] == [("in/a.xml", "word", "word", 1, 100.0)]
+    whole = evaluate.scores(matched, candidates, truth, ["BoWs"], ignore_geometry=True).collect()
+    assert [(r["candidate"], r["removed"]) for r in whole] == [("word outside", 0)]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("read_groundtruth(") == 1 and plan.count("read_candidate(") == 1 and "MapInArrow" not in plan
