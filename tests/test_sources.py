@@ -33,3 +33,24 @@ def test_errors_texts_and_empty(spark, tmp_path):
     assert [r["stem"] for r in pages.candidates(spark, str(tmp_path)).collect()] == ["q"]
     pages.write_lines(pages.read(spark, str(tmp_path)), str(tmp_path / "out"), ["region_no"])
     assert spark.read.text(str(tmp_path / "out")).count() == 3
+
+
+def test_rows_leave_the_parser_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    texts = ["one\ntwo\n" + "x" * 100] * 999 + [None]
+    given = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(1000)]), pa.array(texts)], names=["path", "content"])
+    taken = []
+    rows = lambda p, c: taken.append(p) or pages.document_rows(p, c)
+    by_rows = pages.in_batches([given], rows, pages.ARROW, most=30)
+    first = next(by_rows)
+    assert first.num_rows == 30 and len(taken) == 10  # neither a batch for each document nor all at once
+    by_chars = list(pages.in_batches([given], pages.document_rows, pages.ARROW, chars=1100))
+    assert max(b.num_rows for b in by_chars) == 30
+    want = [r for p, c in zip(given.column(0).to_pylist(), texts, strict=True) for r in pages.document_rows(p, c)]
+    assert pa.Table.from_batches([first, *by_rows]).equals(pa.Table.from_pylist(want, pages.ARROW)) and pa.Table.from_batches(by_chars).num_rows == len(want)
+
+
+def test_polygons_keep_nulls_and_empty_ones():
+    given = [None, [], [{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": None}], None]
+    assert pages.polygons(given).to_pylist() == given and pages.polygons(given).type == pages.ARROW.field("polygon").type
